@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "toxicity")
+MODULES = ("quality", "pii", "toxicity", "ann")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
