@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "pii", "toxicity", "ann")
+MODULES = ("quality", "pii", "chat", "toxicity", "ann")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
