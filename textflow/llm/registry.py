@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spotsigs", "quality", "pii", "chat", "toxicity", "ann")
+MODULES = ("ngram_join", "spotsigs", "quality", "pii", "chat", "toxicity", "ann")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
