@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ngram_join", "spotsigs", "quality", "wfst_pieces", "pii", "chat", "toxicity", "ann")
+MODULES = ("ngram_join", "token_output", "spotsigs", "quality", "wfst_pieces", "pii", "chat", "toxicity", "ann")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
