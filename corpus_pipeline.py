@@ -1,4 +1,66 @@
-"""The training-data pipeline: five stages over ``documents``."""
+"""The training-data pipeline: five stages over ``documents``, each written and read again.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textflow.llm import common, mixing, ngram_join, pii, toxicity, wfst_pieces
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score reaches the threshold."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("tox_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id in each group of copies and near copies. Rows without an id stay."""
+    groups = ngram_join.join(docs)
+    keep = groups.where("doc_id = group_id").select("doc_id")
+    kept = docs.join(keep, "doc_id", "left_semi")
+    if ngram_join._repeats(docs.where("doc_id IS NOT NULL")):
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts; n_chars follows. Null texts stay null."""
+    cand = pii.candidates(docs.withColumn("was_null", F.col("text").isNull()))
+    found = pii.redact(pii.detect(cand, pii.fit(cand)))
+    text = F.when(~F.col("was_null"), F.col("text"))
+    out = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents until the languages' expected token totals meet their targets; none is dropped."""
+    planned, _ = mixing.plan(docs, mixing.by_language(spark, sf_dir, docs))
+    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and the text that they decode to."""
+    return wfst_pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_languages),
+    ("sentencepiece", encode_pieces),
+]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return docs
