@@ -26,7 +26,7 @@ WORDS = 96  # indicator words a domain
 STEPS = 50  # posteriors are rounded to 1 / STEPS
 TEMPERATURE = 0.7  # default targets: observed shares to this power
 LEAST, MOST = 1.0, 8.0
-ROUNDS, TOLERANCE = 80, 1e-4
+ROUNDS, TOLERANCE = 60, 1e-4
 
 
 def _words(text: Column) -> Column:
@@ -133,7 +133,7 @@ def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None
             break
         history.append(error)
         before, now = now, totals(history)
-        if all(abs(a - b) <= TOLERANCE / 10 * max(1.0, b) for a, b in zip(now, before)):
+        if all(abs(a - b) <= TOLERANCE * max(1.0, b) for a, b in zip(now, before)):
             break  # what is left is out of reach within the bounds
     return {"history": history, "want": want, "got": now, "start": start}
 
