@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import text_queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "text_queries"]
