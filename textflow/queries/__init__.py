@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import text_queries
+from . import ledger_queries, text_queries
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "ledger_queries", "text_queries"]
