@@ -1,12 +1,13 @@
 """N-gram Jaccard join by chosen paths (CPSJoin, Christiani et al., 2018).
 
 A document is the set of its five-word shingles. In each of ``RUNS`` runs a set walks into a
-node for every shingle that the run's hash picks for it, about ``BRANCH`` on average for a set
-of its size; two sets that share a picked shingle meet. Crowded nodes whose sets are unlike
-are split again on further picked shingles; the others are compared in full, in tiles of
-bounded size. A pair meets in one run with a probability of at least 1 - exp(-BRANCH) a level
-at the threshold, so that ``RUNS`` runs miss a pair with a probability under 1e-5. What meets
-is compared by bit sketches first, then exactly by its shingles. Links are counted where two
+node for every shingle that the run's hash picks for it, so many that two sets at the
+threshold share ``BRANCH`` of them on average; sets that share a picked shingle meet. A crowded
+node whose sets are unlike (a passage that many texts share) is left by the sets that keep
+``KEEP`` other nodes, and split for the rest on further picked shingles; all other nodes are
+compared in full, in tiles of bounded size. Two sets at the threshold miss each other in all
+runs with a probability under 1e-5. What meets is compared by bit sketches first, then
+exactly by its shingles. Links are counted where two
 sets meet first, never written out as pairs, so a large group of near copies stays as many
 rows as it has members.
 """
@@ -24,8 +25,10 @@ from . import common
 
 WIDTH = 5
 SIMILARITY = 0.8
-RUNS = 5
+RUNS = 6
 BRANCH = 4.0
+KEEP = 16  # picked shingles outside crowded nodes that are enough for a set: 0.8 of them, at least, are shared at the threshold
+SPLIT = 3.5  # nodes of its own that a set walks on into from a crowded one
 LEVELS = 3  # splits after the first
 NODE_ROWS = 256  # more sets than this in a node call for a split
 TILE_ROWS = 512
@@ -97,22 +100,17 @@ def _run_seed(run: int) -> int:
     return int(_mix(np.array([run + 101], dtype=np.uint64) * U(0xA0761D6478BD642F))[0])
 
 
-_MASKS = [int(x) for x in _mix(np.arange(1, 65, dtype=np.uint64) * U(0xE7037ED1A0B428DB))]
+_MASKS = _mix(np.arange(1, 65, dtype=np.uint64) * U(0xE7037ED1A0B428DB))[:, None]
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 bits; each is a bit of the set's minimum under another hash (one-bit minwise hashing)."""
-    bits = np.empty(SKETCH_WORDS * 64, dtype=np.uint8)
-    for i in range(SKETCH_WORDS * 16):  # four bits of each of 64 minima would not be independent: hash the minimum anew
-        m = (tokens ^ U(_MASKS[i])) * U(_MASKS[(i * 7 + 3) % 64] | 1)
-        m ^= m >> U(32)
-        quarter = m.view(np.uint64)
-        for j in range(4):
-            r = (quarter >> U(j)) | (quarter << U(64 - j)) if j else quarter
-            r = r * U(_MASKS[(i + 16 * j + 5) % 64] | 1) if j else r
-            low = int(r.min())
-            bits[i * 4 + j] = bin(low * 0x9E3779B97F4A7C15 >> 17 & 0xFFFF).count("1") & 1
-    return bits
+def sketch(tokens: np.ndarray) -> bytes:
+    """256 bits: four hashed bits of each of 64 minima (b-bit minwise hashing)."""
+    low = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(tokens), 2048):
+        h = (tokens[None, at : at + 2048] ^ _MASKS) * U(0x9E3779B97F4A7C15)
+        low = np.minimum(low, ((h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)).min(axis=1))
+    nibbles = (_mix(low) >> U(37)).astype(np.uint8) & 15
+    return (nibbles[:32] << 4 | nibbles[32:]).tobytes()
 
 
 def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,33 +121,12 @@ def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             t = shingles(text, powers)
             if not len(t):
-                out.append((doc_id, 0, 0, 0, np.empty(0, np.int64)))
+                out.append((doc_id, 0, 0, 0, np.empty(0, np.int64), b""))
                 continue
             nodes = np.concatenate([_child(s, picked(t, s)) for s in seeds])
             h = _mix(t + U(7))
-            out.append((doc_id, int(np.bitwise_xor.reduce(h).view(np.int64)), int(h.sum(dtype=np.uint64).view(np.int64)), len(t), nodes))
-        yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "nodes"])
-
-
-def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    powers = _Powers()
-    for pdf in batches:
-        bits = [np.packbits(sketch(shingles(t, powers))).tobytes() for t in pdf["text"]]
-        yield pd.DataFrame({"cls": pdf["doc_id"], "bits": bits})
-
-
-def _split_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    powers = _Powers()
-    for pdf in batches:
-        cls, child = [], []
-        for c, text, nodes in zip(pdf["doc_id"], pdf["text"], pdf["nodes"]):
-            t = shingles(text, powers)
-            for v in nodes:
-                u = int(np.int64(v).view(np.uint64))
-                got = _child(u, picked(t, u))
-                cls += [c] * len(got)
-                child.append(got)
-        yield pd.DataFrame({"cls": np.array(cls, dtype=np.int64), "node": np.concatenate(child) if child else np.empty(0, np.int64)})
+            out.append((doc_id, int(np.bitwise_xor.reduce(h).view(np.int64)), int(h.sum(dtype=np.uint64).view(np.int64)), len(t), np.unique(nodes), sketch(t)))
+        yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "nodes", "bits"])
 
 
 def _by_node(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -196,35 +173,82 @@ def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+
+# differing bits of two sketches at the threshold: 128 (1 - J) on average; a differing minimum has 2 of 4, with variance
+_LIMIT = 128 * (1 - SIMILARITY) + SKETCH_SLACK * np.sqrt(64 * (5 * (1 - SIMILARITY) - 4 * (1 - SIMILARITY) ** 2))
+
+
+def _small_tiles(pdf: pd.DataFrame, group: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows with a plausible partner among small tiles, all tiles at once: each row against the k-th after it."""
+    n, bits = pdf["n"].to_numpy(), np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), 4)
+    node, nodes = pdf["node"].to_numpy(), pdf["nodes"].to_numpy()
+    hit = np.zeros(len(pdf), dtype=bool)
+    for k in range(1, int(size.max(initial=1))):
+        a = np.flatnonzero(size[:-k] > k) if k < len(pdf) else np.empty(0, np.int64)
+        a = a[group[a] == group[a + k]]
+        if not len(a):
+            break
+        b = a + k
+        ok = np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]) - 1e-9
+        a, b = a[ok], b[ok]
+        far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+        for x, y in zip(a[far <= _LIMIT], b[far <= _LIMIT]):
+            if not (hit[x] and hit[y]) and min(set(nodes[x]) & set(nodes[y]), default=None) == node[x]:
+                hit[x] = hit[y] = True
+    return hit
 
 
 def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sets of a tile that may have a link there: (node, i, j, cls)."""
-    agree = (1 + SIMILARITY) / 2
-    limit = (1 - agree) * 256 + SKETCH_SLACK * np.sqrt(256 * agree * (1 - agree))
-    for g in _by_node(batches, ["node", "i", "j"]):
+    """Sets of a tile that may have a link there: (node, i, j, block, cls)."""
+    keys, out = ["node", "i", "j"], ["node", "i", "j", "block", "cls"]
+
+    def large(g: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _sides(g)
-        if not len(a) or not len(b) or (same and len(a) < 2):
-            continue
+        if not len(a) or not len(b):
+            return g.iloc[:0][out]
         n = g["n"].to_numpy()
-        bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint8).reshape(len(g), -1)
+        bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), 4)
         na, nb = n[a][:, None], n[b][None, :]
         ok = np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb) - 1e-9
         far = np.zeros(ok.shape, dtype=np.int32)
-        for k in range(bits.shape[1]):
-            far += _POP[bits[a, k][:, None] ^ bits[b, k][None, :]]
-        ok &= far <= limit
+        for k in range(4):
+            far += np.bitwise_count(bits[a, k][:, None] ^ bits[b, k][None, :])
+        ok &= far <= _LIMIT
         if same:
             np.fill_diagonal(ok, False)
-        if not ok.any():
+        if ok.any():
+            nodes = g["nodes"].to_numpy()
+            ok &= _first_meeting(list(nodes[a]), list(nodes[b]), int(g["node"].iloc[0]))
+        return g.iloc[np.unique(np.concatenate([a[ok.any(axis=1)], b[ok.any(axis=0)]]))][out]
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf[keys].to_numpy()
+        new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+        group = np.cumsum(new) - 1
+        count = np.bincount(group)
+        size = count[group]
+        whole = (pdf["i"].to_numpy() == pdf["j"].to_numpy()) & (size <= 48)
+        parts = []
+        if whole.any():
+            small = pdf[whole]
+            parts.append(small[_small_tiles(small, group[whole], size[whole])][out])
+        for g in np.unique(group[~whole]):
+            parts.append(large(pdf[group == g] if count[g] * 4 > len(pdf) else pdf.iloc[np.flatnonzero(group == g)]))
+        return pd.concat(parts) if parts else pdf.iloc[:0][out]
+
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
             continue
-        nodes = g["nodes"].to_numpy()
-        ok &= _first_meeting(list(nodes[a]), list(nodes[b]), int(g["node"].iloc[0]))
-        hit = np.unique(np.concatenate([a[ok.any(axis=1)], b[ok.any(axis=0)]]))
-        if len(hit):
-            h = g.iloc[hit]
-            yield h[["node", "i", "j", "block", "cls"]].reset_index(drop=True)
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        k = pdf[keys].to_numpy()
+        last = np.flatnonzero((k != k[-1]).any(axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on in the next batch
+        rest = pdf.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield compared(pdf.iloc[:cut].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield compared(rest)
 
 
 def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -315,38 +339,37 @@ def join(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     docs = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else docs
-    sigs = common.materialize(docs.mapInPandas(_signature_rows, "doc_id long, h1 long, h2 long, n int, nodes array<long>"), "sigs")
+    sigs = common.materialize(docs.mapInPandas(_signature_rows, "doc_id long, h1 long, h2 long, n int, nodes array<long>, bits binary"), "sigs")
     classes = sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_copies"))
     classes = common.materialize(classes, "classes")
-    reps = sigs.join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
+    reps = sigs.join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cls"), "n", "nodes", "bits")
+    reps = common.materialize(reps, "reps")
     # nodes that two classes or more walk into
-    level = reps.select(F.col("doc_id").alias("cls"), F.explode(F.array_distinct("nodes")).alias("node"))
+    level = reps.select("cls", F.explode("nodes").alias("node"))
     final = None
     for depth in range(LEVELS + 1):
         count = level.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         level = common.materialize(level.join(count, "node"), "level")
         crowded = level.where(F.col("m") > NODE_ROWS)
-        if depth == LEVELS or not crowded.limit(1).count():
-            stay = level
-        else:
-            # unlike sets: two random ones seldom have the same smallest shingle; a crowd of near copies stays and is compared in tiles
-            low = reps.select(F.col("doc_id").alias("cls"), F.array_min("nodes").alias("low"))
-            alike = crowded.join(low, "cls").groupBy("node", "m", "low").agg(F.count(F.lit(1)).alias("c"))
-            alike = alike.groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / F.max("m") / F.max("m")).alias("alike"))
-            split = alike.where("alike < 0.4").select("node")
+        stay, more = level, None
+        if depth < LEVELS and crowded.limit(1).count():
+            split = common.materialize(_unlike(crowded, reps), "split")
             stay = level.join(split, "node", "left_anti")
-            going = level.join(split, "node", "left_semi").groupBy(F.col("cls").alias("doc_id")).agg(F.collect_list("node").alias("nodes"))
-            level = docs.join(going, "doc_id").mapInPandas(_split_rows, "cls long, node long").distinct()
+            going = crowded.join(split, "node", "left_semi")
+            if depth == 0:
+                short = going.groupBy("cls").agg(F.count(F.lit(1)).alias("lost")).join(reps, "cls").where(F.size("nodes") - F.col("lost") < KEEP)
+                going = going.join(short.select("cls"), "cls", "left_semi")
+            # a set goes on by its own other picks: the share that the node's hash lets through
+            walk = F.transform(F.filter("nodes", lambda x: (x != F.col("node")) & (F.pmod(F.xxhash64(F.col("node"), x), F.lit(100_000)) < 100_000 * SPLIT / F.size("nodes"))), lambda x: F.xxhash64(x, F.col("node"), F.lit("walk")))
+            more = going.select("cls", "node").join(reps.select("cls", "nodes"), "cls").select("cls", F.explode(walk).alias("node"))
         final = stay.select("cls", "node", "m") if final is None else final.unionByName(stay.select("cls", "node", "m"))
-        if stay is level:
+        if more is None:
             break
+        level = more
     final = common.materialize(final, "nodes")
     # each class with all its nodes, its size and its sketch
     own = final.groupBy("cls").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    own = own.join(classes.select("cls", "n"), "cls")
-    texts = docs.join(own.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
-    bits = texts.mapInPandas(_sketch_rows, "cls long, bits binary")
-    own = common.materialize(own.join(bits, "cls"), "own")
+    own = common.materialize(own.join(reps.drop("nodes"), "cls"), "own")
     # tiles: blocks of a node against each other
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     tiled = final.distinct().withColumn("block", F.pmod(F.xxhash64("cls", "node"), blocks).cast("int"))
@@ -372,6 +395,13 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+def _unlike(crowded: DataFrame, reps: DataFrame) -> DataFrame:
+    """Crowded nodes whose sets are unlike: two of them seldom have the same smallest pick, over four hashes."""
+    lows = F.array(*(F.struct(F.lit(i).alias("i"), F.array_min(F.transform("nodes", lambda x: F.xxhash64(x, F.lit(i)))).alias("low")) for i in range(4)))
+    each = crowded.join(reps.select("cls", F.explode(lows).alias("l")), "cls").groupBy("node", "m", "l.i", "l.low").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / (4 * F.max("m") * F.max("m"))).alias("alike")).where("alike < 0.4").select("node")
+
+
 def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
 
