@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -22,3 +25,12 @@ def salted_collect(df: DataFrame, keys: list[str], order: list[Column], k: int,
     few = salted.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return few.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__s").withColumnRenamed("__r", "rank")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only where none is set (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="textflow-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
