@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from . import common
 
 SPACE = "▁"
 INF = float("inf")
-CACHE = 300_000
+CACHE = 250_000
 
 
 def default_model() -> str:
@@ -70,6 +71,7 @@ class Transducer:
     """The compiled model; ``encode`` composes it with a text and takes the shortest path."""
 
     NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+    FREE, NONE = -1, -2
 
     def __init__(self, path: str) -> None:
         self.pieces: list[str] = []
@@ -94,8 +96,11 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         #: U+2581 stands inside pieces only in runs of itself, so words can be encoded apart
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.accepted = {q: i for q in self.ids if (i := self._accepted(q)) >= 0}
+        self.beside: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.raw = [self._raw(i) for i in range(len(self.pieces))]
 
     def _add(self, message: bytes) -> None:
         piece, score, kind = "", 0.0, self.NORMAL
@@ -117,6 +122,11 @@ class Transducer:
         elif kind == self.BYTE:
             self.byte_ids[int(piece[3:5], 16)] = i
 
+    def _raw(self, i: int) -> bytes:
+        if self.kinds[i] == self.BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return b"" if self.kinds[i] == self.CONTROL else self.pieces[i].encode()
+
     def normalise(self, text: str) -> str:
         if not text:
             return ""
@@ -140,56 +150,67 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(parts)
 
-    def arc(self, p: str, q: str) -> float:
-        """Weight of the arc from piece p's state over piece q: zero or infinite."""
-        ok = self.beside.get((p, q))
-        if ok is None:
-            if len(self.beside) > 1_000_000:
-                self.beside.clear()
-            ok = self.beside[p, q] = self.merged(p + q) == (p, q)
-        return 0.0 if ok else INF
+    def _accepted(self, q: str) -> int:
+        """Id of a piece that merging can give at all, or -1."""
+        i = self.ids.get(q, -1)
+        return i if i >= 0 and self.merged(q) == (q,) else -1
+
+    def _arc(self, key: int) -> bool:
+        """Whether the arc from piece ``key >> 16``'s state over piece ``key & 65535`` has weight zero; else its weight is infinite."""
+        if len(self.beside) > 2_000_000:
+            self.beside.clear()
+        p, q = self.pieces[key >> 16], self.pieces[key & 65535]
+        ok = self.beside[key] = self.merged(p + q) == (p, q)
+        return ok
 
-    def shortest_path(self, s: str) -> list[int]:
+    def shortest_path(self, s: str) -> tuple[int, ...]:
         """Ids along the lightest path of the composition with ``s``.
 
         A state is (position, last piece). By the arcs' weights one piece at most can end a
-        prefix at finite weight, so each position keeps that one: the whole lattice is walked once.
+        prefix at finite weight, so each position keeps that one: the whole lattice is walked
+        once. ``FREE`` is the state behind bytes, from which any arc may leave.
         """
-        n = len(s)
-        last: list[str | None] = [None] * (n + 1)
-        weight = [INF] * (n + 1)
-        weight[0] = 0.0
-        last[0] = ""
-        ids, longest = self.ids, self.longest
+        n, longest = len(s), self.longest
+        last, back = [self.NONE] * (n + 1), [0] * (n + 1)
+        last[0] = self.FREE
+        accepted, beside, arc, free, none = self.accepted, self.beside, self._arc, self.FREE, self.NONE
         for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                if weight[begin] == INF:
-                    continue
-                q = s[begin:end]
-                if q not in ids and end - begin > 1:
+            for begin in range(end - longest if end > longest else 0, end):
+                q = accepted.get(s[begin:end])
+                if q is None:
                     continue
                 p = last[begin]
-                if end - begin > 1 and self.merged(q) != (q,):
+                if p == none:
                     continue
-                if not p or self.arc(p, q) == 0.0:
-                    weight[end], last[end] = weight[begin], q
-                    break
+                if p != free:
+                    key = p << 16 | q
+                    ok = beside.get(key)
+                    if not (arc(key) if ok is None else ok):
+                        continue
+                last[end], back[end] = q, begin
+                break
+            else:
+                if s[end - 1] not in self.ids and last[end - 1] != none:
+                    last[end], back[end] = free, end - 1
         out: list[int] = []
         at = n
         while at > 0:
             q = last[at]
-            i = ids.get(q)
-            out += [i] if i is not None else [self.byte_ids[b] for b in reversed(q.encode("utf-8", "surrogatepass"))]
-            at -= len(q)
-        return out[::-1]
+            if q == free:
+                out += [self.byte_ids[b] for b in reversed(s[at - 1].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(q)
+            at = back[at]
+        return tuple(out[::-1])
 
     def _word(self, word: str) -> tuple[int, ...]:
-        got = self.words.get(word)
+        """The path of a word, from two generations of remembered ones."""
+        got = self.older.get(word)
         if got is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            # a run of characters longer than any piece is cut only where no piece reaches across: walked as a whole
-            got = self.words[word] = tuple(self.shortest_path(word))
+            got = self.shortest_path(word)
+        if len(self.words) >= CACHE:
+            self.older, self.words = self.words, {}
+        self.words[word] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
@@ -198,36 +219,40 @@ class Transducer:
         if not s:
             return []
         if not self.apart:
-            return self.shortest_path(s)
-        out: list[int] = []
-        word = self._word
-        run = 0  # spaces before the next word
-        for i, w in enumerate(s.split(SPACE)):
-            if i:
-                run += 1
-            if w:
-                out += word(SPACE * run + w)
-                run = 0
-        if run:
-            out += word(SPACE * run)
-        return out
+            return list(self.shortest_path(s))
+        parts = s.split(SPACE)
+        if "" not in parts[1:] and not parts[0]:
+            units = [SPACE + w for w in parts[1:]]
+        else:
+            units, run = [], 0  # run: spaces before the next word
+            for i, w in enumerate(parts):
+                run += bool(i)
+                if w:
+                    units.append(SPACE * run + w)
+                    run = 0
+            if run:
+                units.append(SPACE * run)
+        paths = list(map(self.words.get, units))
+        if None in paths:
+            word = self._word
+            paths = [self.words.get(u) or word(u) if x is None else x for x, u in zip(paths, units)]
+        return list(chain.from_iterable(paths))
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, bytes put together, the dummy prefix taken off."""
-        out = bytearray()
-        for k, i in enumerate(ids):
-            kind = self.kinds[i]
-            if kind == self.BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind != self.CONTROL:
-                out += self.pieces[i].encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def machine_of(path: str) -> Transducer:
+    """A worker process compiles a model once."""
+    return Transducer(path)
+
+
 def _rows(path: str, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Transducer(path)
+        machine = machine_of(path)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
