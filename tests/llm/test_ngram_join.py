@@ -56,7 +56,7 @@ def test_shingles_and_sketches():
     assert len(J.shingles(None, p)) == len(J.shingles("  ", p)) == 0 and len(J.shingles("one two", p)) == 1
     a = J.shingles(" ".join(map(str, range(500))), p)
     assert len(a) == 496 and np.array_equal(a, J.shingles(" ".join(map(str, range(500))).upper() + " ", p))
-    bits = lambda s: np.frombuffer(J.sketch(s), dtype=np.uint64)
+    bits = lambda s: np.frombuffer(J.sketch(s)[0], dtype=np.uint64)
     far = lambda x, y: int(np.bitwise_count(bits(x) ^ bits(y)).sum())
     rng = np.random.default_rng(3)
     other = rng.integers(0, 2**63, 496).astype(np.uint64)

@@ -103,14 +103,14 @@ def _run_seed(run: int) -> int:
 _MASKS = _mix(np.arange(1, 65, dtype=np.uint64) * U(0xE7037ED1A0B428DB))[:, None]
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """256 bits: four hashed bits of each of 64 minima (b-bit minwise hashing)."""
+def sketch(tokens: np.ndarray) -> tuple[bytes, int]:
+    """256 bits, four hashed bits of each of 64 minima (b-bit minwise hashing), and one bit of each as a long."""
     low = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(tokens), 2048):
         h = (tokens[None, at : at + 2048] ^ _MASKS) * U(0x9E3779B97F4A7C15)
         low = np.minimum(low, ((h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)).min(axis=1))
     nibbles = (_mix(low) >> U(37)).astype(np.uint8) & 15
-    return (nibbles[:32] << 4 | nibbles[32:]).tobytes()
+    return (nibbles[:32] << 4 | nibbles[32:]).tobytes(), int(np.packbits(nibbles & 1).view(np.int64)[0])
 
 
 def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,12 +121,12 @@ def _signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             t = shingles(text, powers)
             if not len(t):
-                out.append((doc_id, 0, 0, 0, np.empty(0, np.int64), b""))
+                out.append((doc_id, 0, 0, 0, np.empty(0, np.int64), b"", 0))
                 continue
             nodes = np.concatenate([_child(s, picked(t, s)) for s in seeds])
             h = _mix(t + U(7))
-            out.append((doc_id, int(np.bitwise_xor.reduce(h).view(np.int64)), int(h.sum(dtype=np.uint64).view(np.int64)), len(t), np.unique(nodes), sketch(t)))
-        yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "nodes", "bits"])
+            out.append((doc_id, int(np.bitwise_xor.reduce(h).view(np.int64)), int(h.sum(dtype=np.uint64).view(np.int64)), len(t), np.unique(nodes), *sketch(t)))
+        yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "nodes", "bits", "mini"])
 
 
 def _by_node(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -339,10 +339,10 @@ def join(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     docs = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else docs
-    sigs = common.materialize(docs.mapInPandas(_signature_rows, "doc_id long, h1 long, h2 long, n int, nodes array<long>, bits binary"), "sigs")
+    sigs = common.materialize(docs.mapInPandas(_signature_rows, "doc_id long, h1 long, h2 long, n int, nodes array<long>, bits binary, mini long"), "sigs")
     classes = sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_copies"))
     classes = common.materialize(classes, "classes")
-    reps = sigs.join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cls"), "n", "nodes", "bits")
+    reps = sigs.join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cls"), "n", "nodes", "bits", "mini")
     reps = common.materialize(reps, "reps")
     # nodes that two classes or more walk into
     level = reps.select("cls", F.explode("nodes").alias("node"))
@@ -369,7 +369,7 @@ def join(docs: DataFrame) -> DataFrame:
     final = common.materialize(final, "nodes")
     # each class with all its nodes, its size and its sketch
     own = final.groupBy("cls").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    own = common.materialize(own.join(reps.drop("nodes"), "cls"), "own")
+    own = common.materialize(own.join(reps.select("cls", "n", "bits"), "cls"), "own")
     # tiles: blocks of a node against each other
     blocks = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     tiled = final.distinct().withColumn("block", F.pmod(F.xxhash64("cls", "node"), blocks).cast("int"))
@@ -396,10 +396,14 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _unlike(crowded: DataFrame, reps: DataFrame) -> DataFrame:
-    """Crowded nodes whose sets are unlike: two of them seldom have the same smallest pick, over four hashes."""
-    lows = F.array(*(F.struct(F.lit(i).alias("i"), F.array_min(F.transform("nodes", lambda x: F.xxhash64(x, F.lit(i)))).alias("low")) for i in range(4)))
-    each = crowded.join(reps.select("cls", F.explode(lows).alias("l")), "cls").groupBy("node", "m", "l.i", "l.low").agg(F.count(F.lit(1)).alias("c"))
-    return each.groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / (4 * F.max("m") * F.max("m"))).alias("alike")).where("alike < 0.4").select("node")
+    """Crowded nodes whose sets are unlike: over 64 bits of minwise hashes two of them seldom agree more than by chance.
+
+    Of m sets c have a bit: two agree on it with probability (c^2 + (m - c)^2) / m^2, and (1 + J) / 2 on average.
+    """
+    bits = [F.sum(F.shiftrightunsigned("mini", i).bitwiseAND(F.lit(1))) for i in range(64)]
+    sums = crowded.join(reps.select("cls", "mini"), "cls").groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("m"), F.array(*bits).alias("c"))
+    agree = F.aggregate("c", F.lit(0.0), lambda a, c: a + (c * c + (F.col("m") - c) * (F.col("m") - c)) / (F.col("m") * F.col("m"))) / 64
+    return sums.where(2 * agree - 1 < 0.4).select("node")
 
 
 def _repeats(docs: DataFrame) -> bool:
