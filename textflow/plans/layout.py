@@ -16,6 +16,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table out if it comes in fewer pieces than there are cores (one small file); a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted_collect(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 32) -> DataFrame:
     """The first ``k`` rows of each key by ``order``; a hot key is cut down within salts first."""
     from pyspark.sql import Window
