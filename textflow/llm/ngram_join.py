@@ -25,7 +25,7 @@ from . import common
 
 WIDTH = 5
 SIMILARITY = 0.8
-RUNS = 6
+RUNS = 8
 BRANCH = 4.0
 KEEP = 16  # picked shingles outside crowded nodes that are enough for a set: 0.8 of them, at least, are shared at the threshold
 SPLIT = 3.5  # nodes of its own that a set walks on into from a crowded one
