@@ -2,6 +2,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from textflow.llm import ngram_join as J
 
@@ -61,3 +62,20 @@ def test_shingles_and_sketches():
     rng = np.random.default_rng(3)
     other = rng.integers(0, 2**63, 496).astype(np.uint64)
     assert far(a, a) == 0 and far(a, np.sort(a[:450])) < J._LIMIT < far(a, other)
+
+
+def test_labels_of_long_chains(spark, monkeypatch):
+    """Ids that fall away from the smallest, and ids in no order: one label each, in a few rounds."""
+    monkeypatch.setattr(J, "ROUNDS", 20, raising=False)
+    ids = [0, *range(499, 0, -1)]
+    mixed = [1000 + int(i) for i in np.random.default_rng(5).permutation(500)]
+    edges = [*zip(ids, ids[1:]), *zip(mixed, mixed[1:])]
+    got = {r.id: r.root for r in J.components(spark.createDataFrame(edges, "cls long, root long")).collect()}
+    assert got == {i: 0 for i in ids} | {i: 1000 for i in mixed}
+
+
+def test_labels_that_stay_unsettled_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROUNDS", 2, raising=False)
+    edges = [(i, i + 1) for i in range(100)]
+    with pytest.raises(RuntimeError):
+        J.components(spark.createDataFrame(edges, "cls long, root long"))

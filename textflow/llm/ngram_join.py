@@ -33,6 +33,7 @@ LEVELS = 3  # splits after the first
 NODE_ROWS = 256  # more sets than this in a node call for a split
 TILE_ROWS = 512
 SKETCH_WORDS = 4  # of 64 bits
+ROUNDS = 200  # of label lowering; a chain of 100,000 takes 19
 SKETCH_SLACK = 6.0  # standard deviations below the threshold at which a pair is still compared
 U = np.uint64
 
@@ -310,23 +311,26 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of an undirected graph (cls, root): labels are lowered along stars until none changes."""
+    """(id, root) of an undirected graph (cls, root): labels are lowered until no edge joins two of them.
+
+    In each round a label's whole group is hooked to the lowest label that any of its members
+    sees, so the rounds grow with the logarithm of a group's length, not with the length.
+    """
     both = edges.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a <> b")
     edges = common.materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root"))
-    for _ in range(64):
-        labels = common.materialize(labels.select("a", "root"), "labels")
-        # the lowest label next to each vertex, and the label of that vertex's label (halving the way)
+    labels = common.materialize(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    for _ in range(ROUNDS):
         near = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        up = labels.select(F.col("a").alias("root"), F.col("root").alias("up"))
-        new = labels.join(near, "a").join(up, "root", "left")
-        new = new.select("a", F.least("root", "near", "up").alias("root"), "root", ).toDF("a", "root", "old")
-        new = common.materialize(new, "labels")
-        changed = new.where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.select(F.col("a").alias("id"), "root")
+        seen = common.materialize(labels.join(near, "a"), "seen")
+        # for each label the lowest one next to its members, or its own label if that is lower
+        own = seen.where("root < a").select(F.col("a").alias("root"), F.col("root").alias("low"))
+        hooks = seen.select("root", F.col("near").alias("low")).unionByName(own).groupBy("root").agg(F.min("low").alias("low"))
+        new = seen.join(hooks, "root").select("a", F.least("root", "near", "low").alias("root"), F.col("root").alias("old"))
+        labels = common.materialize(new, "labels")
+        if not labels.where("root <> old").limit(1).count():
+            return labels.select(F.col("a").alias("id"), "root")
+        labels = labels.select("a", "root")
+    raise RuntimeError(f"group labels still change after {ROUNDS} rounds")
 
 
 def join(docs: DataFrame) -> DataFrame:
