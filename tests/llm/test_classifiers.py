@@ -60,6 +60,31 @@ def test_nnpu_keeps_the_risk_of_clean_text_nonnegative():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_nnpu_learns_from_documents_without_a_label(labelled, monkeypatch):
+    """Only some positives are labelled: all other documents are the unlabelled set, and its risk goes below zero."""
+    docs, labels = labelled
+    seen, gradient = [], toxicity.risk_gradient
+    monkeypatch.setattr(toxicity, "risk_gradient", lambda *a: seen.append(gradient(*a)) or seen[-1])
+    model = toxicity.fit(docs, labels.where("toxic = 1 AND doc_id % 2 = 0"))
+    rows = {r.doc_id: r.tox_score for r in toxicity.score(docs, model).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL AND doc_id < 900").collect()}
+    out = [k for k in truth if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([(rows[k] >= 0.7) == bool(truth[k]) for k in out]) > 0.95
+    assert abs(model["prior"] - np.mean(list(truth.values()))) < 0.05
+    assert min(risk for _, risk in seen) < 0
+
+
+def test_nnpu_steps_back_where_the_risk_of_clean_text_is_negative():
+    """Positives whose word the unlabelled rows lack: without the step back the weight grows for ever."""
+    rows = [np.array([0])] * 50 + [np.array([1])] * 200
+    label, drawn = np.repeat([1, 0], [50, 200]), np.repeat([False, True], [50, 200])
+    f = np.repeat([4.0, -4.0], [50, 200])
+    g, risk = toxicity.risk_gradient(f, label == 1, drawn, 0.3)
+    assert risk < 0 and (g[:50] > 0).all() and (g[50:] < 0).all()
+    w, b = toxicity.nnpu_fit(rows, label, 2, 0.3, rounds=2000, drawn=drawn)
+    assert w[0] + b > w[1] + b and abs(w[0] + b) < 10
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0]), np.array([1]), np.array([0, 2]), np.array([1, 2])] * 5
     y = np.array([1.0, -1, 1, -1] * 5)
