@@ -5,11 +5,15 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textflow.llm import common, mixing, ngram_join, pii, toxicity, wfst_pieces
 
+log = logging.getLogger(__name__)
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score reaches the threshold."""
@@ -40,7 +44,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents until the languages' expected token totals meet their targets; none is dropped."""
-    planned, _ = mixing.plan(docs, mixing.by_language(spark, sf_dir, docs))
+    planned, fitted = mixing.plan(docs, mixing.by_language(spark, sf_dir, docs))
+    say = log.info if fitted["residual"] < mixing.TOLERANCE else log.warning
+    say("mixing: want %s, got %s, residual %.2g", *(dict(zip(fitted["domains"], fitted[k])) for k in ("want", "got")), fitted["residual"])
     return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
 
 

@@ -43,3 +43,20 @@ def test_no_labels_no_documents(tables):
     out, _ = M.plan(docs, labelled.where("false"))
     assert {r.n_copies for r in out.collect()} == {1}
     assert M.plan(docs.where("false"), labelled)[0].collect() == []
+
+
+def test_rare_domain_meets_its_target(spark):
+    """One token in 2,000 has to grow almost tenfold, and with equal targets two thousandfold."""
+    cells = spark.createDataFrame([([M.STEPS, 0], 2000.0), ([0, M.STEPS], 1.0)], "steps array<int>, tokens double").coalesce(1)
+    for targets, grown in ((None, 2000**0.3), ({"a": 0.5, "b": 0.5}, 2000)):
+        fitted = M.solve(cells, ["a", "b"], targets)
+        assert abs(fitted["got"][1] / grown - 1) < 1e-3 and abs(fitted["got"][0] / 2000 - 1) < 1e-3
+        assert fitted["residual"] < 1e-3
+
+
+def test_small_posteriors_are_kept(spark):
+    k = 120
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    model = {"domains": [str(i) for i in range(k)], "prior": [-float(i == 0) * 9 for i in range(k)], "weights": {}}
+    steps = M.with_posterior(docs, model).first().steps
+    assert min(steps) > 0 and abs(sum(steps) / M.STEPS - 1) < 1e-3

@@ -4,8 +4,10 @@ A naive Bayes classifier learnt from a labelled table (doc_id, domain) predicts
 document's posterior over the domains. Nonnegative document rates are then fitted by
 projected-gradient least squares, so that the expected token total of each domain, the sum of
 rate x tokens x posterior, meets its target. Each step is one distributed aggregation. The
-gradient reaches a document only through its posterior, so documents of one (rounded)
-posterior are summed up before: the steps run over at most C(STEPS + K, K) rows.
+gradient reaches a document only through its posterior, so documents of one posterior (to
+1 / STEPS) are summed up before. A domain that has to grow R times takes steps R / 4 times as
+long, so that its error falls by a quarter a round whatever R is. What the targets ask for, what
+the rates give and the largest relative difference are returned.
 
 A rate of 1.4 writes a document once, and with probability 0.4 (by a hash of the document)
 once more. The default lower bound of 1 never drops a document: targets are met by repeating
@@ -23,10 +25,13 @@ from . import common
 
 SAMPLE_ROWS = 10_000  # labelled rows that the classifier is fitted on, at most
 WORDS = 96  # indicator words a domain
-STEPS = 50  # posteriors are rounded to 1 / STEPS
+STEPS = 1_000_000  # posteriors are rounded to 1 / STEPS
 TEMPERATURE = 0.7  # default targets: observed shares to this power
-LEAST, MOST = 1.0, 8.0
-ROUNDS, TOLERANCE = 60, 1e-4
+LEAST, MOST = 1.0, math.inf
+ROUNDS, TOLERANCE = 200, 1e-4
+STALLED = 1e-6  # relative change of all totals in a round below which what is left is out of reach
+WRITTEN = 10  # rounds after which rates are written
+CELL_ROWS = 20_000  # of posteriors in a task
 
 
 def _words(text: Column) -> Column:
@@ -93,10 +98,11 @@ def _share(steps: Column, i: int) -> Column:
     return F.element_at(steps, i + 1) / F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
 
-def rate(steps: Column, history: list[list[float]], least: float, most: float) -> Column:
+def rate(steps: Column, history: list[list[float]], least: float, most: float, start: Column | None = None) -> Column:
     """A document's rate after the steps taken so far: r <- clip(r - sum_k posterior_k x error_k)."""
+    start = F.lit(1.0) if start is None else start
     if not history:
-        return F.lit(1.0)
+        return start
     errors = F.array(*(F.array(*map(F.lit, e)) for e in history))
     total = F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
@@ -104,15 +110,20 @@ def rate(steps: Column, history: list[list[float]], least: float, most: float) -
         move = F.aggregate(F.zip_with(steps, e, lambda s, x: s * x), F.lit(0.0), lambda a, b: a + b) / total
         return F.greatest(F.lit(least), F.least(F.lit(most), r - move))
 
-    return F.aggregate(errors, F.lit(1.0), step)
+    return F.aggregate(errors, start, step)
 
 
 def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, least: float = LEAST, most: float = MOST) -> dict:
     """Projected-gradient steps over (steps, tokens). ``targets``: weights by domain; default: observed shares to the power 0.7."""
     k = len(domains)
+    cells = cells.withColumn("rate", F.lit(1.0))
 
     def totals(history: list[list[float]]) -> list[float]:
-        r = rate(F.col("steps"), history, least, most)
+        nonlocal cells
+        r = rate(F.col("steps"), history[(len(history) - 1) // WRITTEN * WRITTEN :] if history else [], least, most, F.col("rate"))
+        if history and len(history) % WRITTEN == 0:  # rates so far are written, so that plans stay short
+            cells = common.materialize(cells.withColumn("rate", r), "cells")
+            r = F.col("rate")
         got = cells.agg(*(F.coalesce(F.sum(r * F.col("tokens") * _share(F.col("steps"), i)), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
         return [float(x) for x in got]
 
@@ -125,24 +136,28 @@ def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None
     # the smallest total at which no domain with a target has to shrink
     whole = max((s / w for s, w in zip(start, weight) if w > 0), default=0.0)
     want = [w * whole for w in weight]
+    length = [max(1.0, w / s / 4) if s > 0 else 1.0 for s, w in zip(start, want)]
     history: list[list[float]] = []
     now = start
-    for _ in range(ROUNDS):
-        error = [(n - w) / w if w > 0 else 0.0 for n, w in zip(now, want)]
-        if max(map(abs, error), default=0.0) < TOLERANCE:
+    for n in range(ROUNDS + 1):
+        error = [(g - w) / w if w > 0 else 0.0 for g, w in zip(now, want)]
+        residual = max(map(abs, error), default=0.0)
+        if residual < TOLERANCE or n == ROUNDS:
             break
-        history.append(error)
+        history.append([e * x for e, x in zip(error, length)])
         before, now = now, totals(history)
-        if all(abs(a - b) <= TOLERANCE * max(1.0, b) for a, b in zip(now, before)):
-            break  # what is left is out of reach within the bounds
-    return {"history": history, "want": want, "got": now, "start": start}
+        if all(abs(a - b) <= STALLED * max(1.0, b) for a, b in zip(now, before)):
+            residual = max(abs(g - w) / w for g, w in zip(now, want) if w > 0)
+            break
+    return {"history": history, "want": want, "got": now, "start": start, "residual": residual}
 
 
 def plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = LEAST, most: float = MOST) -> tuple[DataFrame, dict]:
     """``docs`` with n_tokens, steps, rate and n_copies, and what was fitted."""
     model = fit(docs, labelled)
     known = with_posterior(docs, model)
-    cells = common.materialize(known.groupBy("steps").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("docs")).coalesce(1), "cells")
+    cells = common.materialize(known.groupBy("steps").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
+    cells = common.materialize(cells.coalesce(1 + cells.count() // CELL_ROWS), "cells")
     fitted = solve(cells, model["domains"], targets, least, most)
     known = known.withColumn("rate", rate(F.col("steps"), fitted["history"], least, most))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1_000_003)) / 1_000_003.0
@@ -157,7 +172,10 @@ def by_language(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
 
 
 def op8_mixing_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior, rate and copies of every document, language shares moved to the power 0.7."""
+    """Posterior, rate and copies of every document, language shares moved to the power 0.7.
+
+    ``target_tokens`` and ``expected_tokens`` are what its domain should have and what the rates give it.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out, fitted = plan(docs, by_language(spark, sf_dir, docs))
     best = F.array_position("steps", F.array_max("steps")).cast("int")
@@ -165,9 +183,11 @@ def op8_mixing_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_tokens",
         F.element_at(F.array(*map(F.lit, fitted["domains"])), best).alias("domain"),
-        F.to_json(F.map_from_arrays(F.array(*map(F.lit, fitted["domains"])), F.transform("steps", lambda s: F.round(s / F.aggregate("steps", F.lit(0), lambda a, b: a + b), 4)))).alias("posterior"),
+        F.to_json(F.map_from_arrays(F.array(*map(F.lit, fitted["domains"])), F.transform("steps", lambda s: F.round(s / F.aggregate("steps", F.lit(0), lambda a, b: a + b), 6)))).alias("posterior"),
         "rate",
         "n_copies",
+        F.element_at(F.array(*map(F.lit, fitted["want"])), best).alias("target_tokens"),
+        F.element_at(F.array(*map(F.lit, fitted["got"])), best).alias("expected_tokens"),
     )
 
 
