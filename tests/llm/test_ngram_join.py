@@ -37,7 +37,10 @@ def test_same_as_brute_force(docs, corpus):
     assert got == brute({r[0]: r[1] for r in corpus}.items())
 
 
-def test_crowded_nodes_split(spark, monkeypatch):
+@pytest.mark.parametrize("named", [4_096, 0])
+def test_crowded_nodes_split(spark, monkeypatch, named):
+    """Crowded nodes named in a filter, and (where they are too many for that) joined."""
+    monkeypatch.setattr(J, "HOT_NODES", named)
     monkeypatch.setattr(J, "NODE_ROWS", 8)
     monkeypatch.setattr(J, "TILE_ROWS", 4)
     passage = " ".join(f"p{i}" for i in range(60))
@@ -48,6 +51,24 @@ def test_crowded_nodes_split(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_no_link_lost_behind_a_common_passage(spark):
+    """With production parameters: 600 texts share a passage of a third to nine tenths of their words."""
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    passage = [word() for _ in range(90)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range([180, 90, 10][i % 3])]
+        rows.append((i, " ".join(own + passage)))
+        near = list(own)
+        near[int(rng.integers(0, len(near)))] = "edited"
+        rows.append((1000 + i, " ".join(near + passage)))
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    want = brute(rows)
+    assert sum(v[1] for v in want.values()) > 600
+    assert got == want
+
+
 def test_empty_table(nothing):
     assert J.join(nothing).collect() == []
 

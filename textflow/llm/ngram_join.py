@@ -32,6 +32,7 @@ SPLIT = 3.5  # nodes of its own that a set walks on into from a crowded one
 LEVELS = 3  # splits after the first
 NODE_ROWS = 256  # more sets than this in a node call for a split
 TILE_ROWS = 512
+HOT_NODES = 4_096  # crowded unlike nodes that a filter may name (32 KB); more of them are joined
 SKETCH_WORDS = 4  # of 64 bits
 ROUNDS = 200  # of label lowering; a chain of 100,000 takes 19
 SKETCH_SLACK = 6.0  # standard deviations below the threshold at which a pair is still compared
@@ -349,7 +350,7 @@ def join(docs: DataFrame) -> DataFrame:
     reps = sigs.join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cls"), "n", "nodes", "bits", "mini")
     reps = common.materialize(reps, "reps")
     # nodes that two classes or more walk into
-    level = reps.select("cls", F.explode("nodes").alias("node"))
+    level = reps.select("cls", "mini", F.explode("nodes").alias("node"))
     final = None
     for depth in range(LEVELS + 1):
         count = level.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -357,15 +358,11 @@ def join(docs: DataFrame) -> DataFrame:
         crowded = level.where(F.col("m") > NODE_ROWS)
         stay, more = level, None
         if depth < LEVELS and crowded.limit(1).count():
-            split = common.materialize(_unlike(crowded, reps), "split")
-            stay = level.join(split, "node", "left_anti")
-            going = crowded.join(split, "node", "left_semi")
-            if depth == 0:
-                short = going.groupBy("cls").agg(F.count(F.lit(1)).alias("lost")).join(reps, "cls").where(F.size("nodes") - F.col("lost") < KEEP)
-                going = going.join(short.select("cls"), "cls", "left_semi")
+            split = common.materialize(_unlike(crowded), "split")
+            stay, going = _parted(level, split, reps, depth == 0)
             # a set goes on by its own other picks: the share that the node's hash lets through
             walk = F.transform(F.filter("nodes", lambda x: (x != F.col("node")) & (F.pmod(F.xxhash64(F.col("node"), x), F.lit(100_000)) < 100_000 * SPLIT / F.size("nodes"))), lambda x: F.xxhash64(x, F.col("node"), F.lit("walk")))
-            more = going.select("cls", "node").join(reps.select("cls", "nodes"), "cls").select("cls", F.explode(walk).alias("node"))
+            more = going.select("cls", "mini", F.explode(walk).alias("node"))
         final = stay.select("cls", "node", "m") if final is None else final.unionByName(stay.select("cls", "node", "m"))
         if more is None:
             break
@@ -399,17 +396,42 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
-def _unlike(crowded: DataFrame, reps: DataFrame) -> DataFrame:
+def _unlike(crowded: DataFrame) -> DataFrame:
     """Crowded nodes whose sets are unlike: over 64 bits of minwise hashes two of them seldom agree more than by chance.
 
     Of m sets c have a bit: two agree on it with probability (c^2 + (m - c)^2) / m^2, and (1 + J) / 2 on average.
     """
     bits = [F.sum(F.shiftrightunsigned("mini", i).bitwiseAND(F.lit(1))) for i in range(64)]
-    sums = crowded.join(reps.select("cls", "mini"), "cls").groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("m"), F.array(*bits).alias("c"))
+    sums = crowded.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("m"), F.array(*bits).alias("c"))
     agree = F.aggregate("c", F.lit(0.0), lambda a, c: a + (c * c + (F.col("m") - c) * (F.col("m") - c)) / (F.col("m") * F.col("m"))) / 64
     return sums.where(2 * agree - 1 < 0.4).select("node")
 
 
+def _parted(level: DataFrame, split: DataFrame, reps: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``level`` outside the ``split`` nodes, and the sets that walk on from those: (cls, mini, node, nodes).
+
+    On the first level only sets that keep fewer than ``KEEP`` other nodes walk on. Few split
+    nodes (counted) are taken out of the sets' arrays before anything is written a row a node.
+    """
+    few = split.limit(HOT_NODES + 1).collect()
+    if len(few) > HOT_NODES:
+        stay = level.join(split, "node", "left_anti")
+        going = level.join(split, "node", "left_semi")
+        if first:
+            lost = going.groupBy("cls").agg(F.count(F.lit(1)).alias("lost"))
+            short = lost.join(reps, "cls").where(F.size("nodes") - F.col("lost") < KEEP)
+            going = going.join(short.select("cls"), "cls", "left_semi")
+        return stay, going.select("cls", "mini", "node").join(reps.select("cls", "nodes"), "cls")
+    named = ", ".join(f"{r['node']}L" for r in few) or "NULL"
+    stay = level.where(f"node NOT IN ({named})") if few else level
+    if first:
+        lost = reps.select("cls", "mini", "nodes", F.expr(f"filter(nodes, x -> x IN ({named}))").alias("lost"))
+        short = lost.where((F.size("lost") > 0) & (F.size("nodes") - F.size("lost") < KEEP))
+        return stay, short.select("cls", "mini", F.explode("lost").alias("node"), "nodes")
+    going = level.where(f"node IN ({named})").select("cls", "mini", "node")
+    return stay, going.join(reps.select("cls", "nodes"), "cls")
+
+
 def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
 
