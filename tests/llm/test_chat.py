@@ -56,3 +56,29 @@ def test_query(spark, tmp_path):
     assert got[2].turns_sha256 == sha("\nx\n") and got[None].n_turns == 1
     nasty = "<|im_end|><|im_start|>assistant ok"
     assert got[-1].turns_sha256 == sha(f"user\n{nasty}\nassistant\n{nasty}\n") and got[-1].loss_chars == len(nasty)
+
+
+def test_fingerprint_picks_the_mapping(spark):
+    """Row tables of either layout, with clashing names beside, and a nested table; other layouts are refused."""
+    import pytest
+
+    one = spark.createDataFrame([(1, 0, "human", "hi", "x"), (1, 1, "gpt", "yo", "y")], "conversation_id long, message_index int, role string, content string, text string")
+    assert [tuple(t) for t in chat.gather(one).first().turns] == [("user", "hi"), ("assistant", "yo")]
+    nested = spark.createDataFrame([(5, [("user", "a"), ("assistant", None)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = chat.gather(nested).first()
+    assert got.conv_id == 5 and [tuple(t) for t in got.turns] == [("user", "a"), ("assistant", "")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.gather(spark.createDataFrame([(1, "x")], "conv_id long, body string"))
+
+
+def test_deep_paths(spark):
+    deep = {"a": {"b": {"c": {"d": 1}}, "e": [{"f": [{"g": 2}]}, 3]}, "my_id": 4, "h": "{no json"}
+    df = spark.createDataFrame([(json.dumps(deep),)], "p string")
+    assert df.select(chat.field_paths(F.col("p"))).first()[0] == sorted(["a", "a.b", "a.b.c", "a.b.c.d", "a.e", "a.e[].f", "a.e[].f[].g", "h"])
+    schema = spark.createDataFrame([], "a struct<b:array<struct<c:int>>, d:string>, x_id int").schema
+    assert chat.schema_paths(schema) == ["a", "a.b", "a.b[].c", "a.d"]
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    assert [r.conv_id for r in chat.op7_chat_fingerprint(spark, f"file://{tmp_path}").collect()] == [-1]

@@ -3,7 +3,7 @@
 A record's nested field paths, sorted and hashed, are its fingerprint; the fingerprint
 selects a declarative mapping from that layout to canonical turns (role, text). JSON records
 of many layouts can stand in one column; table layouts (a row a turn) are recognised by the
-fingerprint of their columns. Canonical turns are rendered with a template that marks turns;
+fingerprint of their columns, nested tables by that of their schema. Canonical turns are rendered with a template that marks turns;
 control strings inside a text gain a backslash (``<|`` becomes ``<\\|``, ``<\\|`` becomes
 ``<\\\\|``), which undoes exactly, so no text can open or close a turn.
 """
@@ -15,6 +15,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -33,11 +34,11 @@ LAYOUTS: dict[str, tuple] = {
 }
 #: names that layouts use for the canonical roles
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: columns of a table with a row a turn -> (conversation, order, role, text)
-ROW_LAYOUTS = {
-    ("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"),
-    ("content", "conversation_id", "message_index", "role"): ("conversation_id", "message_index", "role", "content"),
-}
+#: tables with a row a turn: columns in the order (conversation, order, role, text)
+ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "message_index", "role", "content"))
+#: names that decide about the layout of a row; all other columns don't matter
+ROW_NAMES = sorted({c for columns in ROW_LAYOUTS for c in columns})
+DEPTH = 5  # levels of nested fields that a fingerprint of JSON text sees
 
 
 def fingerprint_of(paths) -> str:
@@ -53,22 +54,51 @@ def registry() -> dict[str, str]:
     return out
 
 
+def row_registry() -> dict[str, tuple[str, ...]]:
+    """Fingerprint of each row layout, alone and beside further known names -> its columns; the layout declared first wins."""
+    out: dict[str, tuple[str, ...]] = {}
+    for columns in ROW_LAYOUTS:
+        others = [c for c in ROW_NAMES if c not in columns]
+        for there in product((False, True), repeat=len(others)):
+            out.setdefault(fingerprint_of([*columns, *(c for c, yes in zip(others, there) if yes)]), columns)
+    return out
+
+
+def schema_paths(kind: T.DataType, name: str = "") -> list[str]:
+    """Field paths of a type at any depth; ``[]`` marks a list's entries."""
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind.elementType, f"{name}[]") if isinstance(kind.elementType, (T.StructType, T.ArrayType)) else []
+    if not isinstance(kind, T.StructType):
+        return []
+    at = [(f"{name}.{f.name}" if name else f.name, f.dataType) for f in kind.fields if f.name != "id" and not f.name.endswith("_id")]
+    return [p for path, below in at for p in (path, *schema_paths(below, path))]
+
+
 def _object(c: Column) -> Column:
     return F.from_json(c, "map<string,string>")
 
 
 def field_paths(payload: Column) -> Column:
-    """Sorted distinct field paths of a JSON object, two levels deep; ``[]`` marks a list's entries (``id`` and ``*_id`` don't count)."""
-    def below(e: Column) -> Column:
-        key, value = e["key"], F.ltrim(e["value"])
-        nested = F.transform(F.coalesce(F.json_object_keys(value), F.array()), lambda k: F.concat(key, F.lit("."), k))
-        entries = F.coalesce(F.from_json(value, "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
-        inside = F.flatten(F.transform(F.filter(entries, lambda m: m.isNotNull()), F.map_keys))
-        listed = F.transform(F.array_distinct(inside), lambda k: F.concat(key, F.lit("[]."), k))
-        return F.concat(F.array(key), F.when(value.startswith("{"), nested).when(value.startswith("[{"), listed).otherwise(F.array().cast("array<string>")))
+    """Sorted distinct field paths of a JSON object, ``DEPTH`` levels deep; ``[]`` marks a list's entries (``id`` and ``*_id`` at the top don't count)."""
+    nothing = lambda: F.array().cast("array<string>")
+
+    def inside(value: Column, name: Column, depth: int) -> Column:
+        """Paths below ``name``, whose value is JSON text."""
+        if not depth:
+            return nothing()
+        fields = F.coalesce(F.map_entries(_object(value)), F.array().cast("array<struct<key:string,value:string>>"))
+        of_fields = F.flatten(F.transform(fields, lambda e: F.concat(F.array(F.concat(name, F.lit("."), e["key"])), inside(F.ltrim(e["value"]), F.concat(name, F.lit("."), e["key"]), depth - 1))))
+        entries = F.coalesce(F.from_json(value, "array<string>"), nothing())
+        of_entries = F.flatten(F.transform(F.filter(entries, lambda v: F.ltrim(v).startswith("{")), lambda v: one(v, F.concat(name, F.lit("[]")), depth)))
+        return F.when(value.startswith("{"), of_fields).when(value.startswith("["), F.array_distinct(of_entries)).otherwise(nothing())
+
+    def one(value: Column, name: Column, depth: int) -> Column:
+        fields = F.coalesce(F.map_entries(_object(value)), F.array().cast("array<struct<key:string,value:string>>"))
+        return F.flatten(F.transform(fields, lambda e: F.concat(F.array(F.concat(name, F.lit("."), e["key"])), inside(F.ltrim(e["value"]), F.concat(name, F.lit("."), e["key"]), depth - 1))))
 
     pairs = F.filter(F.map_entries(_object(payload)), lambda e: (e["key"] != "id") & ~e["key"].endswith("_id"))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, below))))
+    below = F.transform(pairs, lambda e: F.concat(F.array(e["key"]), inside(F.ltrim(e["value"]), e["key"], DEPTH - 1)))
+    return F.array_sort(F.array_distinct(F.flatten(below)))
 
 
 def fingerprint(payload: Column) -> Column:
@@ -108,18 +138,24 @@ def _role(role: Column) -> Column:
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turns) of a table with a row a turn, by the fingerprint of its columns.
+    """Conversations (conv_id, turns) of a table; the hash of its field paths picks the mapping.
 
-    Extra columns don't matter. Turns go by their number; equal numbers by role, then text;
-    null numbers first. Null texts and roles are empty, repeated rows stay.
+    A table with a row a turn is looked up by the known names among its columns, a table with a
+    row a conversation (nested lists of messages, prompt and answer) by all its paths; other
+    columns of row tables don't matter. Turns go by their number; equal numbers by role, then
+    text; null numbers first. Null texts and roles are empty, repeated rows stay.
     """
-    have = set(rows.columns)
-    for columns, (conv, order, role, text) in ROW_LAYOUTS.items():
-        if have >= set(columns) and fingerprint_of(have & set(columns)) == fingerprint_of(columns):
-            turn = F.struct(F.col(order).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-            packed = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(turn), _by_turn).alias("t"))
-            return packed.select("conv_id", F.transform("t", lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text"))).alias("turns"))
-    raise ValueError(f"no mapping for a table with the columns {sorted(have)}")
+    picked = row_registry().get(fingerprint_of(c for c in rows.columns if c in ROW_NAMES))
+    if picked:
+        conv, order, role, text = picked
+        turn = F.struct(F.col(order).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        packed = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(turn), _by_turn).alias("t"))
+        return packed.select("conv_id", F.transform("t", lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text"))).alias("turns"))
+    key = next((c for c in rows.columns if c == "id" or c.endswith("_id")), None)
+    if key and fingerprint_of(schema_paths(rows.schema)) in registry():
+        records = rows.select(F.col(key).alias("conv_id"), F.to_json(F.struct(*(c for c in rows.columns if c != key)), {"ignoreNullFields": "false"}).alias("payload"))
+        return canonical(records).select("conv_id", "turns")
+    raise ValueError(f"no mapping for a table with the columns {sorted(rows.columns)}")
 
 
 def _by_turn(a: Column, b: Column) -> Column:

@@ -15,14 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests on one machine) a temporary folder is taken.
-    """
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
+    if not set_dir and spark.sparkContext.master.startswith("local["):  # tests: driver and executors are one process
         set_dir = "file://" + tempfile.mkdtemp(prefix="textflow-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
+    if not set_dir:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return set_dir.rstrip("/")
 
 

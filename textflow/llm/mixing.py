@@ -3,15 +3,21 @@
 A naive Bayes classifier learnt from a labelled table (doc_id, domain) predicts each
 document's posterior over the domains. Nonnegative document rates are then fitted by
 projected-gradient least squares, so that the expected token total of each domain, the sum of
-rate x tokens x posterior, meets its target. Each step is one distributed aggregation. The
-gradient reaches a document only through its posterior, so documents of one posterior (to
-1 / STEPS) are summed up before. A domain that has to grow R times takes steps R / 4 times as
-long, so that its error falls by a quarter a round whatever R is. What the targets ask for, what
-the rates give and the largest relative difference are returned.
+rate x tokens x posterior, meets its target:
+
+    minimise  F(r) = 1/2 sum_k (got_k(r) - want_k)^2 / start_k   over r_i >= least
+
+start_k being what domain k has at rate 1. With documents weighed by their tokens the gradient
+at document i is sum_k posterior_ik (got_k - want_k) / start_k, and its Lipschitz constant is 1
+(the domains' overlap matrix has rows that add up to 1), so steps of length 1, each followed by
+the projection, never increase F. Each step is one distributed aggregation. The gradient reaches
+a document only through its posterior, so documents of one posterior (to 1 / STEPS) are summed
+up before. What the targets ask for, what the rates give and the largest relative difference are
+returned.
 
 A rate of 1.4 writes a document once, and with probability 0.4 (by a hash of the document)
-once more. The default lower bound of 1 never drops a document: targets are met by repeating
-what is short of its share.
+once more. Rates are nonnegative; with ``least`` = 1 no document is dropped, and targets are
+met by repeating what is short of its share.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_ROWS = 10_000  # labelled rows that the classifier is fitted on, at most
-WORDS = 96  # indicator words a domain
+WORDS, SALTS = 96, 32  # indicator words a domain
 STEPS = 1_000_000  # posteriors are rounded to 1 / STEPS
 TEMPERATURE = 0.7  # default targets: observed shares to this power
-LEAST, MOST = 1.0, math.inf
+LEAST = 0.0
 ROUNDS, TOLERANCE = 200, 1e-4
 STALLED = 1e-6  # relative change of all totals in a round below which what is left is out of reach
 WRITTEN = 10  # rounds after which rates are written
@@ -58,6 +64,9 @@ def fit(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     total = sum((column(d) for d in domains), F.lit(0))
     gain = F.array(*(F.struct((column(d) * F.log((column(d) + 1.0) / (sizes[d] + 2.0) / ((total - column(d) + 1.0) / (n - sizes[d] + 2.0)))).alias("gain"), F.lit(i).alias("d")) for i, d in enumerate(domains)))
     ranked = counts.where(total >= 5).select("word", F.array(*map(column, domains)).alias("n"), F.explode(gain).alias("g"))
+    # first within salts, so that a domain is no single task
+    best = Window.partitionBy("g.d", F.pmod(F.xxhash64("word"), F.lit(SALTS))).orderBy(F.desc("g.gain"), "word")
+    ranked = ranked.withColumn("r", F.row_number().over(best)).where((F.col("r") <= WORDS) & (F.col("g.gain") > 0))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("g.d").orderBy(F.desc("g.gain"), "word"))).where((F.col("r") <= WORDS) & (F.col("g.gain") > 0))
     weights = {}
     for r in ranked.select("word", "n").distinct().collect():  # WORDS rows a domain at most
@@ -98,8 +107,8 @@ def _share(steps: Column, i: int) -> Column:
     return F.element_at(steps, i + 1) / F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
 
-def rate(steps: Column, history: list[list[float]], least: float, most: float, start: Column | None = None) -> Column:
-    """A document's rate after the steps taken so far: r <- clip(r - sum_k posterior_k x error_k)."""
+def rate(steps: Column, history: list[list[float]], least: float, start: Column | None = None) -> Column:
+    """A document's rate after the steps taken so far: r <- max(least, r - sum_k posterior_k x step_k)."""
     start = F.lit(1.0) if start is None else start
     if not history:
         return start
@@ -108,19 +117,24 @@ def rate(steps: Column, history: list[list[float]], least: float, most: float, s
 
     def step(r: Column, e: Column) -> Column:
         move = F.aggregate(F.zip_with(steps, e, lambda s, x: s * x), F.lit(0.0), lambda a, b: a + b) / total
-        return F.greatest(F.lit(least), F.least(F.lit(most), r - move))
+        return F.greatest(F.lit(float(least)), r - move)
 
     return F.aggregate(errors, start, step)
 
 
-def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, least: float = LEAST, most: float = MOST) -> dict:
-    """Projected-gradient steps over (steps, tokens). ``targets``: weights by domain; default: observed shares to the power 0.7."""
+def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, least: float = LEAST) -> dict:
+    """Projected-gradient steps over (steps, tokens).
+
+    ``targets``: weights by domain; default: observed shares to the power 0.7. They divide the
+    tokens that there are; with a lower bound above 0 that no document may fall under, the
+    smallest total at which no domain has to shrink below it.
+    """
     k = len(domains)
     cells = cells.withColumn("rate", F.lit(1.0))
 
     def totals(history: list[list[float]]) -> list[float]:
         nonlocal cells
-        r = rate(F.col("steps"), history[(len(history) - 1) // WRITTEN * WRITTEN :] if history else [], least, most, F.col("rate"))
+        r = rate(F.col("steps"), history[(len(history) - 1) // WRITTEN * WRITTEN :] if history else [], least, F.col("rate"))
         if history and len(history) % WRITTEN == 0:  # rates so far are written, so that plans stay short
             cells = common.materialize(cells.withColumn("rate", r), "cells")
             r = F.col("rate")
@@ -133,33 +147,32 @@ def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None
     weight = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
     norm = sum(w for w, s in zip(weight, start) if s > 0) or 1.0
     weight = [w / norm if s > 0 else 0.0 for w, s in zip(weight, start)]
-    # the smallest total at which no domain with a target has to shrink
-    whole = max((s / w for s, w in zip(start, weight) if w > 0), default=0.0)
+    whole = max([sum(start), *(least * s / w for s, w in zip(start, weight) if w > 0)])
     want = [w * whole for w in weight]
-    length = [max(1.0, w / s / 4) if s > 0 else 1.0 for s, w in zip(start, want)]
     history: list[list[float]] = []
     now = start
-    for n in range(ROUNDS + 1):
-        error = [(g - w) / w if w > 0 else 0.0 for g, w in zip(now, want)]
-        residual = max(map(abs, error), default=0.0)
-        if residual < TOLERANCE or n == ROUNDS:
-            break
-        history.append([e * x for e, x in zip(error, length)])
+    residual = lambda got: max((abs(g - w) / w if w > 0 else g / s for g, w, s in zip(got, want, start) if s > 0), default=0.0)
+    while residual(now) >= TOLERANCE and len(history) < ROUNDS:
+        history.append([(g - w) / s if s > 0 else 0.0 for g, w, s in zip(now, want, start)])
         before, now = now, totals(history)
         if all(abs(a - b) <= STALLED * max(1.0, b) for a, b in zip(now, before)):
-            residual = max(abs(g - w) / w for g, w in zip(now, want) if w > 0)
             break
-    return {"history": history, "want": want, "got": now, "start": start, "residual": residual}
+    return {"history": history, "want": want, "got": now, "start": start, "residual": residual(now)}
+
 
+def plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = LEAST) -> tuple[DataFrame, dict]:
+    """``docs`` with n_tokens, steps, rate and n_copies (which replace columns of these names), and what was fitted.
 
-def plan(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = LEAST, most: float = MOST) -> tuple[DataFrame, dict]:
-    """``docs`` with n_tokens, steps, rate and n_copies, and what was fitted."""
+    Null and empty texts have no tokens and the prior as posterior. Null ids and repeated rows
+    are rows like all others; equal (doc_id, text) get equal numbers of copies. An empty table
+    gives an empty one.
+    """
     model = fit(docs, labelled)
     known = with_posterior(docs, model)
     cells = common.materialize(known.groupBy("steps").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
     cells = common.materialize(cells.coalesce(1 + cells.count() // CELL_ROWS), "cells")
-    fitted = solve(cells, model["domains"], targets, least, most)
-    known = known.withColumn("rate", rate(F.col("steps"), fitted["history"], least, most))
+    fitted = solve(cells, model["domains"], targets, least)
+    known = known.withColumn("rate", rate(F.col("steps"), fitted["history"], least))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1_000_003)) / 1_000_003.0
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return known.withColumn("n_copies", copies), model | fitted

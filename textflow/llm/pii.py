@@ -1,11 +1,16 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 High-recall generators propose spans (with other kinds, or across each other). Spans that
-pass the format rules of the four base kinds always stay and are the positives from which
-boosted trees learn: the trees see format and context of a proposal, never the rules'
-verdict. Proposals beside the base spans are kept where the calibrated probability passes
-the generator's threshold. Training needs only counts of the distinct feature vectors of the
-whole corpus (``CELL_BOUND`` at most), so every document takes part.
+pass the format rules of the four base kinds always stay. Other proposals are judged by boosted
+trees over format and context features. The trees learn from proposals that carry evidence of
+their own, outside the features: a validated number, a key's known beginning, letters and
+digits that change places often, a spelt-out ``[at]``; against it a thousands separator, a date,
+one digit only, a word with a number behind it, a sentence that ends in between. Proposals
+without evidence are not learnt from, but judged like all others. On a fold that the trees have
+not met, scores become probabilities by monotone regression, and a generator's threshold is the
+least score whose calibrated probability is ``MIN_PRECISION``. Training needs only counts of the
+distinct feature vectors of the whole corpus (``CELL_BOUND`` at most), so every document takes
+part.
 """
 
 from __future__ import annotations
@@ -30,8 +35,19 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     # proposals: seven or more digits with any marks between, long mixed tokens, spelt-out addresses
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}+(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])[A-Za-z0-9_+/=-]{16,}+",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]? ?(?:@|at|AT) ?[)\]]? ?[A-Za-z0-9-]{2,63} ?[(\[]? ?(?:\.|dot|DOT) ?[)\]]? ?[A-Za-z]{2,10}(?![A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[(\[] ?(?:@|at|AT) ?[)\]] ?| (?:at|AT) | ?@ ?)[A-Za-z0-9-]++(?: ?[(\[] ?(?:\.|dot|DOT) ?[)\]] ?| (?:dot|DOT) |\.)[A-Za-z]{2,}+",
+}
+#: evidence for (1) and against (0) a proposal, by its value; for and against by patterns
+FOR = {
+    "number": r"(?!)",
+    "secret": r"^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_])|(?:[0-9]+[A-Za-z]+){3}|(?:[A-Za-z]+[0-9]+){3}",
+    "address": r"[(\[] ?(?:at|AT|@)|[(\[] ?(?:dot|DOT)",
+}
+AGAINST = {
+    "number": r"^[0-9]{1,3}(?:\.[0-9]{3}){2,}+$|^(?:19|20)[0-9]{2}[-. ](?:0[1-9]|1[0-2])[-. ]",
+    "secret": r"^[0-9_+/=-]+$|^[A-Za-z_+/=-]+[0-9]+[_+/=-]*$|^[0-9]+[A-Za-z_+/=-]+$",
+    "address": r"^(?:the|a|an|and|or|is|was|be|look|arrive|stay) (?:at|AT) ",
 }
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]", "number": "[0-9]", "secret": "[0-9]", "address": "@|[(\\[ ](?:at|AT)[)\\] ]"}
 TRIGGERS = r"(?i)(?:mail|phone|tel|call|fax|card|visa|account|ssn|key|token|secret|password|contact|ip|id)[^A-Za-z0-9]*$"
@@ -39,6 +55,7 @@ MIN_PRECISION = 0.9
 TREES = 24
 #: gen x digits x marks x before x trigger x length x label x fold
 CELL_BOUND = 3 * 6 * 8 * 5 * 2 * 5 * 2 * 2
+NO_EVIDENCE = -1
 FEATURES = ("gen", "digits", "marks", "before", "trigger", "length")
 
 
@@ -120,6 +137,8 @@ def _features(gen: int, s: Column) -> Column:
     n, size = F.length(_digits(v)), F.length(v)
     before = F.substring(F.col("text"), F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
     last = F.right(before, F.lit(1))
+    one_digit = F.replace(_digits(v), F.left(_digits(v), F.lit(1)), F.lit("")) == ""
+    against = v.rlike(AGAINST[EXTRA[gen]]) | one_digit if EXTRA[gen] == "number" else v.rlike(AGAINST[EXTRA[gen]])
     bins = lambda x, *edges: sum(((x > e).cast("int") for e in edges), F.lit(0))
     return F.struct(
         s["start"].alias("start"),
@@ -130,6 +149,7 @@ def _features(gen: int, s: Column) -> Column:
         F.when(last == "", 0).when(last == " ", 1).when(last.rlike("[A-Za-z]"), 2).when(last.rlike("[:=\"']"), 3).otherwise(4).alias("before"),
         before.rlike(TRIGGERS).cast("int").alias("trigger"),
         bins(size, 9, 15, 19, 31).alias("length"),
+        F.when(against, 0).when(v.rlike(FOR[EXTRA[gen]]), 1).otherwise(NO_EVIDENCE).alias("evidence"),
     )
 
 
@@ -143,7 +163,7 @@ def _proposals(gen: int, kind: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``base`` (array of start, kind, end) and ``cand`` (spans of the generators with features, and whether one overlaps a base span)."""
+    """Adds ``base`` (array of start, kind, end) and ``cand``: spans of the generators with features, ``over`` (it overlaps a base span) and ``label`` (1 or 0 by evidence, -1 without)."""
     df = docs.withColumn("text", common.text_or_empty())
     df = df.withColumn("base", F.array_sort(F.concat(*(_base_spans(i, k) for i, k in enumerate(BASE)))))
     found = F.array_sort(F.concat(*(_proposals(g, k) for g, k in enumerate(EXTRA))))
@@ -153,7 +173,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         def overlaps(c: Column) -> Column:
             return F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
 
-        return F.transform(found, lambda c: F.struct(*(c[n].alias(n) for n in names), overlaps(c).alias("label")))
+        def with_label(c: Column, over: Column) -> Column:
+            # a base span is a validated number or address, and no secret
+            label = F.when(over, F.when(c["gen"] == EXTRA.index("secret"), 0).otherwise(1)).otherwise(c["evidence"])
+            return F.struct(*(c[n].alias(n) for n in names), over.alias("over"), label.alias("label"))
+
+        return F.transform(found, lambda c: let(overlaps(c), lambda over: with_label(c, over)))
 
     return df.withColumn("cand", let(F.col("base"), labelled))
 
@@ -203,14 +228,30 @@ def boost(cells: list[tuple[tuple, float, float]]) -> tuple[float, list]:
     return start, trees
 
 
+def calibrated(scored: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """(least score, probability) of ascending steps: monotone regression of (score, rows, positive rows) by pooling neighbours."""
+    by_score: dict[float, list[float]] = {}
+    for s, n, p in scored:
+        cell = by_score.setdefault(s, [0.0, 0.0])
+        cell[0], cell[1] = cell[0] + n, cell[1] + p
+    steps: list[list[float]] = []
+    for s in sorted(by_score):
+        steps.append([s, *by_score[s]])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]:
+            _, n, p = steps.pop()
+            steps[-1][1], steps[-1][2] = steps[-1][1] + n, steps[-1][2] + p
+    return [(s, p / n) for s, n, p in steps]
+
+
 def fit(cand: DataFrame) -> dict:
     """Boosted trees and a threshold for each generator from the cells of all documents.
 
-    A threshold is the lowest score at which, on the fold the trees have not met, spans of at
-    least that score overlap base spans in 9 of 10 cases; with no such score nothing is added.
+    A threshold is the least score whose calibrated probability, on the fold that the trees have
+    not met, is ``MIN_PRECISION`` or more; a generator without such a score adds nothing.
     """
     cells = (
         cand.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)).alias("h"), F.explode("cand").alias("c"))
+        .where(F.col("c.label") != NO_EVIDENCE)
         .groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES), (F.col("h") == 0).alias("test"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.label").cast("long")).alias("pos"))
     )
@@ -219,13 +260,8 @@ def fit(cand: DataFrame) -> dict:
     start, trees = boost(of(False))
     limits = []
     for gen in range(len(EXTRA)):
-        scored = sorted(((start + sum(_value(t, x) for t in trees), n, p) for x, n, p in of(True) if x[0] == gen), reverse=True)
-        limit, n, p = None, 0.0, 0.0
-        for i, (s, a, b) in enumerate(scored):
-            n, p = n + a, p + b
-            if (i + 1 == len(scored) or scored[i + 1][0] < s) and p >= MIN_PRECISION * n and n >= 5:
-                limit = s
-        limits.append(limit)
+        steps = calibrated([(start + sum(_value(t, x) for t in trees), n, p) for x, n, p in of(True) if x[0] == gen])
+        limits.append(min((s for s, p in steps if p >= MIN_PRECISION), default=None))
     return {"start": start, "trees": trees, "limits": limits}
 
 
@@ -244,7 +280,7 @@ def detect(cand: DataFrame, model: dict) -> DataFrame:
         for g, x in enumerate(model["limits"]):
             if x is not None:
                 limit = F.when(c["gen"] == g, F.lit(float(x) - 1e-9)).otherwise(limit)
-        return ~c["label"] & F.coalesce(score >= limit, F.lit(False))
+        return ~c["over"] & F.coalesce(score >= limit, F.lit(False))
 
     extra = F.transform(F.filter("cand", accepted), lambda c: F.struct(c["start"].alias("start"), (c["gen"] + len(BASE)).alias("kind"), c["end"].alias("end")))
     return cand.withColumn("spans", F.array_sort(F.concat("base", extra)))
@@ -274,7 +310,10 @@ def _joined(spans: Column) -> Column:
 
 
 def op6_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, digest and all spans of every document; null texts hold nothing."""
+    """Base counts, digest and all spans of every document.
+
+    Null and empty texts hold nothing; null ids and repeated rows are rows like all others; spans of equal start go by kind; an empty table gives no row.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     cand = candidates(docs)
     found = detect(cand, fit(cand))

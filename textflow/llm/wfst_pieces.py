@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -343,7 +344,7 @@ def _groups(texts: list[str | None]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def _rows(path: str, with_ids: bool):
+def _rows(path: str, with_ids: bool, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of(path)
         for batch in batches:
@@ -351,31 +352,32 @@ def _rows(path: str, with_ids: bool):
             for part in _groups(texts):
                 ids = machine.encode_all(texts[part])
                 back = [machine.decode(i.tolist()) for i in ids]
-                columns = {
+                there = batch.slice(part.start, part.stop - part.start)
+                columns = {c: there.column(c) for c in ("doc_id", *keep)} | {
                     "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
                     "decoded": pa.array(back, pa.string()),
                     "round_trip": pa.array([b == (t or "").replace(SPACE, " ") for b, t in zip(back, texts[part])], pa.bool_()),
                 }
                 if with_ids:
-                    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
                     at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
-                kept = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in kept.schema.names if c != "text"), *columns.values()], [*(c for c in kept.schema.names if c != "text"), *columns])
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), decoded, round_trip and, if asked for, ids.
+def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in ``keep``, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), decoded, round_trip and, if asked for, ids.
 
     A null text has no ids and decodes to the empty text. Null, repeated and large doc_ids pass
     unchanged; rows are not merged; an empty table gives an empty one; other columns are left out.
     """
     path = model or default_model()
-    schema = "doc_id long, n_pieces long, ids_crc32 long, decoded string, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows(path, with_ids), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, *(["text"] if "text" not in keep else []))
+    kept = [f for f in rows.schema.fields if f.name in ("doc_id", *keep)]
+    added = "n_pieces long, ids_crc32 long, decoded string, round_trip boolean" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(_rows(path, with_ids, tuple(keep)), T.StructType(kept + T.StructType.fromDDL(added).fields))
 
 
 def op5_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
