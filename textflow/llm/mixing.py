@@ -34,8 +34,8 @@ WORDS, SALTS = 96, 32  # indicator words a domain
 STEPS = 1_000_000  # posteriors are rounded to 1 / STEPS
 TEMPERATURE = 0.7  # default targets: observed shares to this power
 LEAST = 0.0
-ROUNDS, TOLERANCE = 200, 1e-4
-STALLED = 1e-6  # relative change of all totals in a round below which what is left is out of reach
+ROUNDS, TOLERANCE = 200, 1e-3
+STALLED = 10  # rounds after which the residual has to be a hundredth less, or what is left is out of reach
 WRITTEN = 10  # rounds after which rates are written
 CELL_ROWS = 20_000  # of posteriors in a task
 
@@ -150,13 +150,14 @@ def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None
     whole = max([sum(start), *(least * s / w for s, w in zip(start, weight) if w > 0)])
     want = [w * whole for w in weight]
     history: list[list[float]] = []
-    now = start
+    now, left = start, []
     residual = lambda got: max((abs(g - w) / w if w > 0 else g / s for g, w, s in zip(got, want, start) if s > 0), default=0.0)
     while residual(now) >= TOLERANCE and len(history) < ROUNDS:
-        history.append([(g - w) / s if s > 0 else 0.0 for g, w, s in zip(now, want, start)])
-        before, now = now, totals(history)
-        if all(abs(a - b) <= STALLED * max(1.0, b) for a, b in zip(now, before)):
+        left.append(residual(now))
+        if len(left) > STALLED and left[-1] > 0.99 * left[-1 - STALLED]:
             break
+        history.append([(g - w) / s if s > 0 else 0.0 for g, w, s in zip(now, want, start)])
+        now = totals(history)
     return {"history": history, "want": want, "got": now, "start": start, "residual": residual(now)}
 
 
