@@ -34,9 +34,11 @@ def salted_collect(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only where none is set (tests)."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
+    if not top and spark.sparkContext.master.startswith("local["):  # tests: driver and executors are one process
         top = "file://" + tempfile.mkdtemp(prefix="textflow-")
         spark.conf.set("spark.checkpoint.dir", top)
+    if not top:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import re
 
-from .base import shared
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..plans.layout import salted_collect
+from .base import query, shared, table
 
 _DUCK = (
     (r"get_json_object\((\w+\.)?props, '\$\.k'\)", r"json_extract_string(\1props, '$.k')"),
@@ -58,7 +62,18 @@ both("led_replay_unmatched", f"WITH {DEC}, {LATEST} SELECT l.item, CASE WHEN l.k
 both("led_marks_survive", f"WITH {DEC}, {LATEST} SELECT l.item, l.kind FROM latest l LEFT SEMI JOIN @benchmark b ON b.item_id = l.item")
 both("led_roster", "SELECT coalesce(c.c_custkey, o.o_custkey) AS teacher, CASE WHEN o.o_custkey IS NULL THEN 'registered only' WHEN c.c_custkey IS NULL THEN 'runs only' ELSE 'both' END AS state, coalesce(o.runs, 0) AS runs FROM @customer c FULL OUTER JOIN (SELECT o_custkey, count(*) AS runs FROM @orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey")
 both("led_chain_breaks", "WITH v AS (SELECT user_id, event_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM @events) SELECT user_id, count(*) AS versions, count_if(before IS NOT NULL AND value < before) AS breaks, min(CASE WHEN value < before THEN event_id END) AS first_break FROM v GROUP BY user_id")
-both("led_effective_versions", "WITH v AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS roll FROM @events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sum(roll) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS later FROM v) SELECT user_id, event_id, seq FROM o WHERE later = 0")
+# a rollback voids the last version that still holds: heights of a stack that never falls below nothing
+shared(
+    "led_effective_versions",
+    """WITH v AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS step FROM @events),
+s AS (SELECT *, row_number() OVER w AS seq, sum(step) OVER w AS total FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS height FROM s),
+e AS (SELECT *, min(height) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_height FROM h)
+SELECT user_id, event_id, seq FROM e WHERE step = 1 AND least_height >= height""",
+    """WITH v AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+l AS (SELECT user_id, list_reduce(list(CASE WHEN event_type = 'error' THEN [-1::BIGINT] ELSE [seq] END ORDER BY seq), lambda acc, x: CASE WHEN x[1] = -1 THEN acc[:-2] ELSE list_concat(acc, x) END, []::BIGINT[]) AS held FROM v GROUP BY user_id)
+SELECT v.user_id, v.event_id, v.seq FROM v JOIN (SELECT user_id, unnest(held) AS seq FROM l) h ON h.user_id = v.user_id AND h.seq = v.seq""",
+)
 
 # metrics and experiments
 both("agg_adoption_grouping_sets", f"WITH {DEC} SELECT item % 7 AS rule, to_date(ts) AS day, grouping(item % 7) AS g_rule, grouping(to_date(ts)) AS g_day, count_if(kind = 'accept') AS accepted, count_if(kind = 'reject') AS rejected, try_divide(count_if(kind = 'accept'), count_if(kind IN ('accept', 'reject'))) AS rate FROM dec GROUP BY GROUPING SETS ((item % 7), (to_date(ts)), ())")
@@ -93,7 +108,28 @@ both("q_resume_drift", f"WITH {DEC}, c AS (SELECT teacher, max(CASE WHEN kind =
 both("q_review_ingest", f"WITH {DEC}, r AS (SELECT event_id, item, teacher, CASE WHEN item IS NULL THEN 'no item' WHEN cost IS NULL THEN 'no value' WHEN row_number() OVER (PARTITION BY item, teacher, kind ORDER BY ts, event_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM dec) SELECT verdict, count(*) AS n FROM r GROUP BY verdict")
 both("q_review_sheet", "WITH w AS (SELECT p_type AS word, count(*) AS n, min(p_name) AS example FROM @part GROUP BY p_type) SELECT word, n, example FROM w")
 both("q_rework_ledger", f"WITH {DEC} SELECT kind AS verdict, item % 3 AS tier, count(*) AS n FROM dec GROUP BY kind, item % 3")
-both("q_notes_unplaced", "SELECT b.item_id, count(d.doc_id) AS placed FROM @benchmark b LEFT JOIN @documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY b.item_id")
+
+
+@query("q_notes_unplaced", "SELECT b.item_id, count(d.doc_id) AS placed FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def q_notes_unplaced(spark, d):
+    """How many documents hold each note's whole text. Candidates hold its rarest inner run of three words; the text itself decides."""
+    notes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("note"))
+    grams = lambda text: T.shingles(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    words = F.filter(F.split("note", r"\s+"), lambda w: w != "")
+    inner = T.shingles(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))  # the first and the last word may go on in a document
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    held = docs.select("doc_id", F.explode(F.transform(grams(F.col("text")), lambda g: F.xxhash64(g))).alias("gram"))
+    asked = notes.select("item_id", "note", F.explode(F.transform(inner, lambda g: F.xxhash64(g))).alias("gram"))
+    known = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = known.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.join(often, "gram", "left").groupBy("item_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = known.join(rare, "gram").select("item_id", "doc_id").distinct()
+    short = notes.where(F.size(inner) <= 0)  # too short for a run: compared with every document, a few words each
+    pairs = found.join(notes, "item_id").join(docs, "doc_id").where(F.contains("text", "note")).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    few = short.join(docs, F.contains("text", "note")).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    return notes.join(pairs.unionByName(few), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("placed"))
+
+
 both("run_resume_plan", "SELECT o.o_orderkey FROM @orders o LEFT ANTI JOIN @lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F'")
 
 # sets, tables, validation
@@ -102,11 +138,44 @@ both("set_vocab_dedupe", "SELECT lower(p_type) AS word, min(p_size) AS shortest,
 both("set_dict_merge", "WITH u AS (SELECT p_name AS word, p_brand AS gloss, 0 AS prio FROM @part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_name, p_type, 1 FROM @part WHERE p_partkey % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY prio, gloss) AS rn, count(*) OVER (PARTITION BY word) AS n FROM u) SELECT word, gloss, n > 1 AS conflict FROM r WHERE rn = 1")
 both("set_new_violations", "SELECT p_brand AS rule FROM @part WHERE p_size > 25 EXCEPT ALL SELECT p_brand FROM @part WHERE p_size > 40")
 both("chk_table_rules", "SELECT p_partkey, CASE WHEN p_name IS NULL THEN 'required' WHEN count(*) OVER (PARTITION BY p_partkey) > 1 THEN 'unique key' WHEN p_size < 1 OR p_size > 45 THEN 'range' WHEN NOT (p_brand LIKE 'Brand#%') THEN 'enum' ELSE 'ok' END AS verdict FROM @part")
-both("chk_sequence_gaps", "WITH u AS (SELECT DISTINCT source, doc_id % 97 AS no FROM @documents), a AS (SELECT source, min(no) AS lo, max(no) AS hi, count(*) AS n FROM u GROUP BY source) SELECT source, lo, hi, hi - lo + 1 - n AS gaps FROM a")
+# the missing runs of each source's document numbers, counted in ranges of 1,000 so that no source is one task
+shared(
+    "chk_sequence_gaps",
+    """WITH u AS (SELECT DISTINCT source, doc_id, doc_id DIV 1000 AS part FROM @documents WHERE doc_id IS NOT NULL),
+inside AS (SELECT source, lag(doc_id) OVER (PARTITION BY source, part ORDER BY doc_id) AS lo, doc_id AS hi FROM u),
+edges AS (SELECT source, part, min(doc_id) AS first, max(doc_id) AS last FROM u GROUP BY source, part),
+between AS (SELECT source, lag(last) OVER (PARTITION BY source ORDER BY part) AS lo, first AS hi FROM edges)
+SELECT source, lo + 1 AS missing_from, hi - 1 AS missing_to, hi - lo - 1 AS missing FROM (SELECT * FROM inside WHERE lo IS NOT NULL UNION ALL SELECT * FROM between WHERE lo IS NOT NULL) g WHERE hi - lo > 1""",
+    """WITH u AS (SELECT DISTINCT source, doc_id FROM documents WHERE doc_id IS NOT NULL), g AS (SELECT source, doc_id AS hi, max(doc_id) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM u)
+SELECT source, lo + 1 AS missing_from, hi - 1 AS missing_to, hi - lo - 1 AS missing FROM g WHERE hi - lo > 1""",
+)
 both("tbl_upsert", "SELECT p_partkey, p_size + 1 AS p_size FROM @part WHERE p_partkey % 10 = 0 UNION ALL SELECT p.p_partkey, p.p_size FROM @part p LEFT ANTI JOIN (SELECT p_partkey FROM @part WHERE p_partkey % 10 = 0) n ON n.p_partkey = p.p_partkey")
 both("eval_report_diff", "SELECT coalesce(a.l_orderkey, b.o_orderkey) AS k, CASE WHEN a.l_orderkey IS NULL THEN 'only right' WHEN b.o_orderkey IS NULL THEN 'only left' WHEN abs(a.total - b.o_totalprice) < 1 THEN 'same' ELSE 'changed' END AS verdict FROM (SELECT l_orderkey, sum(l_extendedprice) AS total FROM @lineitem GROUP BY l_orderkey) a FULL OUTER JOIN @orders b ON a.l_orderkey = b.o_orderkey")
 both("gr_descendants", "WITH RECURSIVE e(parent, child) AS (SELECT concat('r', CAST(n_regionkey AS STRING)), concat('n', CAST(n_nationkey AS STRING)) FROM @nation UNION ALL SELECT concat('n', CAST(c_nationkey AS STRING)), concat('c', CAST(c_custkey AS STRING)) FROM @customer), d(root, node, depth) AS (SELECT concat('r', CAST(r_regionkey AS STRING)), concat('r', CAST(r_regionkey AS STRING)), 0 FROM @region UNION ALL SELECT d.root, e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE d.depth < 4) SELECT root, depth, count(*) AS n FROM d GROUP BY root, depth")
-both("sim_fuzzy_names", "SELECT * FROM (SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS dist, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY levenshtein(a.s_name, b.s_name), b.s_suppkey) AS place FROM @supplier a JOIN @supplier b ON length(a.s_name) = length(b.s_name) AND substr(a.s_name, 1, length(a.s_name) - 2) = substr(b.s_name, 1, length(b.s_name) - 2) AND a.s_suppkey <> b.s_suppkey) x WHERE place <= 3 AND dist <= 2")
+
+
+@query(
+    "sim_fuzzy_names",
+    """WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS dist, CASE WHEN least(length(a.s_name), length(b.s_name)) <= 4 THEN 1 ELSE 2 END AS most FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey)
+SELECT a, b, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS place FROM p WHERE dist <= most QUALIFY place <= 3""",
+)
+def sim_fuzzy_names(spark, d):
+    """The three nearest other names within two edits (one, where a name has at most four characters).
+
+    Names meet where they are equal after at most two deletions each, which any two names within
+    two edits are; equal names are put together first, so a common name is one row.
+    """
+    names = table(spark, d, "supplier").where("s_name IS NOT NULL").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    without_one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = F.when(F.col("name") == "", F.array(F.lit(""))).otherwise(F.array_distinct(without_one(F.col("name"))))
+    twice = F.flatten(F.transform("once", lambda w: F.when(w == "", F.array(w)).otherwise(without_one(w))))
+    keys = names.select("name").distinct().withColumn("once", once).select("name", F.explode(F.array_distinct(F.concat(F.array("name"), "once", twice))).alias("key"))
+    near = keys.join(keys.select("key", F.col("name").alias("other")), "key").select("name", "other").distinct()
+    near = near.withColumn("dist", F.levenshtein("name", "other")).where(F.col("dist") <= F.when(F.least(F.length("name"), F.length("other")) <= 4, 1).otherwise(2))
+    pairs = near.join(names.withColumnRenamed("id", "a"), "name").join(names.select(F.col("id").alias("b"), F.col("name").alias("other")), "other").where("a <> b")
+    return salted_collect(pairs.select("a", "b", "dist"), ["a"], [F.col("dist"), F.col("b")], 3).select("a", "b", "dist", F.col("rank").alias("place"))
+
+
 
 # lineage
 both("lin_drift_full_outer", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS drift FROM (SELECT l_partkey AS k, count(*) AS n FROM @lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey) a FULL OUTER JOIN (SELECT l_partkey AS k, count(*) AS n FROM @lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) b ON a.k = b.k")

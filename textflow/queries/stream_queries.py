@@ -42,7 +42,7 @@ def stream_sessions(spark, d):
 
 @query("stream_undo_matches", "SELECT d.event_id AS decision_id, u.event_id AS undo_id, u.user_id FROM events d JOIN events u ON u.user_id = d.user_id AND u.ts > d.ts AND u.ts <= d.ts + INTERVAL 1 HOUR WHERE d.event_type <> 'error' AND u.event_type = 'error'")
 def stream_undo_matches(spark, d):
-    return S.undo_matches(_events(spark, d).where("event_type <> 'error'"), _events(spark, d).where("event_type = 'error'"), scratch(spark, "undo"))
+    return S.undo_matches(_events(spark, d), F.col("event_type") == "error", scratch(spark, "undo"))
 
 
 @query("stream_early_late", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, count(*) AS ops, count(*) FILTER (rn <= 10 AND event_type = 'error') AS early_undos, count(*) FILTER (rn > 10 AND event_type = 'error') AS late_undos FROM r GROUP BY user_id")

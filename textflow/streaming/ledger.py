@@ -19,12 +19,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import qc
 
 EVENTS = "event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE, props STRING"
-LATE = "1 hour"
+LATE = "3650 days"  # files may come in any order of time; a live feed sets a shorter bound
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", schema: str = EVENTS, files: int = 4) -> DataFrame:
-    """New files of a folder, ``files`` of them a batch."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
+    """New files of a table, ``files`` of them a batch. The table is a folder of files or a single file."""
+    # a pattern that fits this one name: without one Spark takes the path for a folder's
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def _finish(df: DataFrame, folder: str, mode: str, batch: Callable[[DataFrame, int], None]) -> None:
@@ -32,10 +33,13 @@ def _finish(df: DataFrame, folder: str, mode: str, batch: Callable[[DataFrame, i
     q.awaitTermination()
 
 
-def _append(df: DataFrame, folder: str) -> DataFrame:
-    q = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+def _written(spark: SparkSession, schema: T.StructType, folder: str, before: int | None = None) -> DataFrame:
+    """Rows that batches wrote to ``folder/batch=<n>`` (of those before one batch); none if no batch ran."""
+    try:
+        out = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return (out if before is None else out.where(F.col("batch") < before)).drop("batch")
 
 
 def _newest(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
@@ -62,13 +66,24 @@ def ingest(events: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
         rows.withColumn("reason", reason).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     _finish(events, folder, "append", write)
-    out = events.sparkSession.read.schema(events.withColumn("reason", reason).schema.add("batch", T.IntegerType())).parquet(f"{folder}/out").drop("batch")
+    out = _written(events.sparkSession, events.withColumn("reason", reason).schema, f"{folder}/out")
     return out.where("reason IS NULL").drop("reason"), out.where("reason IS NOT NULL")
 
 
 def dedupe(events: DataFrame, folder: str) -> DataFrame:
-    """Each event id once, if its copies come within the watermark."""
-    return _append(events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]), folder)
+    """Each event id once (its first copy by time), however far apart its copies come.
+
+    The ids that earlier batches wrote are the state; a batch that runs twice writes the same folder again.
+    """
+    spark, schema = events.sparkSession, events.schema
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        one = rows.groupBy("event_id").agg(F.min_by(F.struct(*schema.names), F.struct("ts", F.xxhash64(*schema.names))).alias("x")).select("x.*")
+        seen = _written(spark, schema, f"{folder}/out", batch_id).select(F.col("event_id").alias("seen"))
+        one.join(seen, F.col("event_id").eqNullSafe(F.col("seen")), "left_anti").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _finish(events, folder, "append", write)
+    return _written(spark, schema, f"{folder}/out")
 
 
 def last_writer(events: DataFrame, folder: str, keys: list[str], removed: Column) -> DataFrame:
@@ -89,24 +104,40 @@ def last_writer(events: DataFrame, folder: str, keys: list[str], removed: Column
 
 
 def daily_rates(events: DataFrame, folder: str) -> DataFrame:
-    """Events and their undo rate by day and type of user."""
+    """Number and value of events by day and type; one row of state for each, and no event is too late."""
     day = F.window("ts", "1 day")
-    rates = events.withWatermark("ts", LATE).groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    rates = events.groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return _latest(rates.select(F.col("window.start").alias("day"), "event_type", "n", "value"), folder)
 
 
-def sessions(events: DataFrame, folder: str, gap: str = "30 minutes") -> DataFrame:
-    """Review sessions of each user: events no further apart than ``gap``."""
-    s = events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+def sessions(events: DataFrame, folder: str, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """Review sessions of each user: events no further apart than ``gap``. Events later than ``late`` behind the newest are left out."""
+    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return _latest(s.select("user_id", F.col("session_window.start").alias("start"), "n"), folder)
 
 
-def undo_matches(decisions: DataFrame, undos: DataFrame, folder: str, within: str = "1 hour") -> DataFrame:
-    """Undo events with the decisions of their user that they follow within the bound (stream-stream join)."""
-    d = decisions.withWatermark("ts", LATE).select(F.col("event_id").alias("decision_id"), F.col("user_id").alias("d_user"), F.col("ts").alias("d_ts"))
-    u = undos.withWatermark("ts", LATE).select(F.col("event_id").alias("undo_id"), "user_id", "ts")
-    on = (F.col("user_id") == F.col("d_user")) & (F.col("ts") > F.col("d_ts")) & (F.col("ts") <= F.col("d_ts") + F.expr(f"INTERVAL {within}"))
-    return _append(d.join(u, on).select("decision_id", "undo_id", "user_id"), folder)
+def undo_matches(events: DataFrame, is_undo: Column, folder: str, within: str = "1 hour") -> DataFrame:
+    """Undo events with the decisions of their user that they follow within the bound, whatever the order of arrival.
+
+    Each batch's rows are kept; its undos meet all decisions so far, and its decisions the undos of the batches before.
+    """
+    spark, columns = events.sparkSession, ["event_id", "user_id", "ts", "undo"]
+    kept = events.withColumn("undo", F.coalesce(is_undo, F.lit(False))).select(*columns)
+
+    def matches(decisions: DataFrame, undos: DataFrame) -> DataFrame:
+        d = decisions.where("NOT undo").select(F.col("event_id").alias("decision_id"), F.col("user_id").alias("d_user"), F.col("ts").alias("d_ts"))
+        on = (F.col("user_id") == F.col("d_user")) & (F.col("ts") > F.col("d_ts")) & (F.col("ts") <= F.col("d_ts") + F.expr(f"INTERVAL {within}"))
+        return undos.where("undo").join(d, on).select("decision_id", F.col("event_id").alias("undo_id"), "user_id")
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        new = spark.read.schema(kept.schema).parquet(f"{folder}/rows/batch={batch_id}")
+        old = _written(spark, kept.schema, f"{folder}/rows", batch_id)
+        found = matches(old.unionByName(new), new).unionByName(matches(new, old))
+        found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _finish(kept, folder, "append", write)
+    return _written(spark, T.StructType.fromDDL("decision_id LONG, undo_id LONG, user_id LONG"), f"{folder}/out")
 
 
 def _early_late(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -128,8 +159,8 @@ def early_late(events: DataFrame, folder: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     _finish(counts, folder, "update", write)
-    out = events.sparkSession.read.schema(schema + ", batch INT").parquet(f"{folder}/out")
-    return out.groupBy("user_id").agg(F.max_by(F.struct("ops", "early_undos", "late_undos"), "batch").alias("x")).select("user_id", "x.*")
+    out = _written(events.sparkSession, T.StructType.fromDDL(schema), f"{folder}/out")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("ops", "early_undos", "late_undos"), "ops").alias("x")).select("user_id", "x.*")
 
 
 def document_qc(docs: DataFrame, lexicon: DataFrame, folder: str) -> DataFrame:
