@@ -34,11 +34,11 @@ from . import common
 
 SPACE = "▁"
 INF = float("inf")
-CACHE = 600_000  # words whose paths a worker remembers
+CACHE = 400_000  # words whose paths a worker remembers
 SIDE_BY_SIDE = 20_000  # units that are composed and relaxed at once
 PAIRS = 1_000_000  # neighbours whose weight it remembers
 UNKNOWN_COST = 10.0  # above the dearest piece, for a character that no piece holds (unigram models)
-GROUP_CHARS = 4_000_000  # of texts that are encoded side by side
+GROUP_CHARS = 2_000_000  # of texts that are encoded side by side
 
 
 def default_model() -> str:
