@@ -59,7 +59,6 @@ both("led_candidates", f"WITH {DEC}, e AS (SELECT item, teacher, max(CASE WHEN k
 both("led_reusable", f"WITH {DEC}, e AS (SELECT item, count(DISTINCT teacher) AS n FROM dec WHERE kind = 'accept' GROUP BY item), r AS (SELECT item, CASE WHEN n > 20 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END AS rank FROM e) SELECT item, rank FROM r WHERE rank >= 2")
 both("led_replay", f"WITH {DEC}, {LATEST} SELECT l.item, l.kind, d.doc_id FROM latest l JOIN @documents d ON d.doc_id = l.item WHERE l.kind <> 'reject'")
 both("led_replay_unmatched", f"WITH {DEC}, {LATEST} SELECT l.item, CASE WHEN l.kind = 'edit' THEN 'done' ELSE 'check' END AS verdict FROM latest l LEFT ANTI JOIN @documents d ON d.doc_id = l.item * 13")
-both("led_marks_survive", f"WITH {DEC}, {LATEST} SELECT l.item, l.kind FROM latest l LEFT SEMI JOIN @benchmark b ON b.item_id = l.item")
 both("led_roster", "SELECT coalesce(c.c_custkey, o.o_custkey) AS teacher, CASE WHEN o.o_custkey IS NULL THEN 'registered only' WHEN c.c_custkey IS NULL THEN 'runs only' ELSE 'both' END AS state, coalesce(o.runs, 0) AS runs FROM @customer c FULL OUTER JOIN (SELECT o_custkey, count(*) AS runs FROM @orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey")
 both("led_chain_breaks", "WITH v AS (SELECT user_id, event_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM @events) SELECT user_id, count(*) AS versions, count_if(before IS NOT NULL AND value < before) AS breaks, min(CASE WHEN value < before THEN event_id END) AS first_break FROM v GROUP BY user_id")
 # a rollback voids the last version that still holds: heights of a stack that never falls below nothing
@@ -78,7 +77,6 @@ SELECT v.user_id, v.event_id, v.seq FROM v JOIN (SELECT user_id, unnest(held) AS
 # metrics and experiments
 both("agg_adoption_grouping_sets", f"WITH {DEC} SELECT item % 7 AS rule, to_date(ts) AS day, grouping(item % 7) AS g_rule, grouping(to_date(ts)) AS g_day, count_if(kind = 'accept') AS accepted, count_if(kind = 'reject') AS rejected, try_divide(count_if(kind = 'accept'), count_if(kind IN ('accept', 'reject'))) AS rate FROM dec GROUP BY GROUPING SETS ((item % 7), (to_date(ts)), ())")
 both("agg_cost", f"WITH {DEC} SELECT item % 4 AS provider, sum((cost - cost / 4) / 1e6 + cost / 4 / 1e6 * 0.02 + cost / 1e6 * 4) AS cost, count(*) AS calls, count_if(kind = 'undo') AS errors FROM dec GROUP BY item % 4")
-both("agg_positioning", "SELECT source, (max(q0) - min(q0)) AS load_drop, avg(q1) AS support FROM (SELECT d.source, 1 - l.quality AS q0, l.quality AS q1 FROM @documents d JOIN @labels l ON d.doc_id = l.doc_id) x GROUP BY source")
 both("agg_band_rates", "WITH b AS (SELECT p_brand, p_type, CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 30 THEN 'mid' ELSE 'high' END AS band, p_retailprice AS rate FROM @part) SELECT band, count(*) AS items, avg(rate) AS mean_rate, avg(rate) - (SELECT avg(p_retailprice) FROM @part) AS gap FROM b GROUP BY band")
 both("agg_book_report", "SELECT source, count(*) AS chapters, sum(n_chars) AS chars, count_if(n_chars < 200) AS attention FROM @documents GROUP BY source")
 both("agg_ledger_summary", f"WITH {DEC} SELECT kind, count(*) AS n, count(DISTINCT teacher) AS teachers, max(ts) AS last_ts FROM dec GROUP BY kind")
@@ -106,7 +104,6 @@ both("q_batch_preview", f"WITH {DEC} SELECT item, count(*) AS n, count(DISTINCT
 both("q_today", f"WITH {DEC}, d AS (SELECT max(to_date(ts)) AS day FROM dec) SELECT count_if(kind IN ('accept', 'edit')) AS done, count_if(kind = 'reject') AS failed, count_if(kind = 'undo') AS undone FROM dec JOIN d ON to_date(dec.ts) = d.day")
 both("q_resume_drift", f"WITH {DEC}, c AS (SELECT teacher, max(CASE WHEN kind = 'edit' THEN ts END) AS paused FROM dec GROUP BY teacher) SELECT d.teacher, count(*) AS since FROM dec d JOIN c ON c.teacher = d.teacher AND d.ts > c.paused GROUP BY d.teacher")
 both("q_review_ingest", f"WITH {DEC}, r AS (SELECT event_id, item, teacher, CASE WHEN item IS NULL THEN 'no item' WHEN cost IS NULL THEN 'no value' WHEN row_number() OVER (PARTITION BY item, teacher, kind ORDER BY ts, event_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM dec) SELECT verdict, count(*) AS n FROM r GROUP BY verdict")
-both("q_review_sheet", "WITH w AS (SELECT p_type AS word, count(*) AS n, min(p_name) AS example FROM @part GROUP BY p_type) SELECT word, n, example FROM w")
 both("q_rework_ledger", f"WITH {DEC} SELECT kind AS verdict, item % 3 AS tier, count(*) AS n FROM dec GROUP BY kind, item % 3")
 
 
@@ -183,13 +180,10 @@ both("lin_provenance", f"WITH {DEC} SELECT d.doc_id, sha2(d.text, 256) AS hash,
 both("lin_collisions", "SELECT c_name AS identity, count(DISTINCT o_orderkey) AS runs, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'fork' ELSE 'overwrite' END AS collision FROM @customer JOIN @orders ON o_custkey = c_custkey GROUP BY c_name HAVING count(DISTINCT o_orderkey) >= 2")
 both("lin_publish_filter", "SELECT doc_id, CASE WHEN text LIKE '%@%.%' THEN 'mail' WHEN length(text) < 20 THEN 'empty' END AS excluded FROM @documents")
 both("lin_lexicon_snapshot", "SELECT p_brand AS source, count(*) AS words, sha2(array_join(array_sort(collect_list(p_name)), ','), 256) AS version FROM @part GROUP BY p_brand")
-both("lin_artifact_upsert", "SELECT url, max(page_id) AS artifact FROM @pages GROUP BY url")
 both("lin_lexicon_decision", "WITH h AS (SELECT doc_id, sha2(text, 256) AS h FROM @documents) SELECT l.doc_id, CASE WHEN h.h IS NULL THEN 'live' WHEN substr(h.h, 1, 1) < '8' THEN 'store' ELSE 'reject' END AS decision FROM @labels l LEFT JOIN h ON h.doc_id = l.doc_id")
 both("ver_pair_fidelity", "WITH p AS (SELECT a.label AS pair, aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, v) -> s + v) AS dot FROM @embeddings a JOIN @embeddings b ON b.vec_id = a.vec_id + 1) SELECT pair, round(avg(dot), 5) AS mean, round(min(dot), 5) AS low, round(percentile(dot, 0.5), 5) AS median FROM p GROUP BY pair", "WITH p AS (SELECT a.label AS pair, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot FROM @embeddings a JOIN @embeddings b ON b.vec_id = a.vec_id + 1) SELECT pair, round(avg(dot), 5) AS mean, round(min(dot), 5) AS low, round(quantile_cont(dot, 0.5), 5) AS median FROM p GROUP BY pair")
 both("ver_segment_cosine", "SELECT a.vec_id AS base, b.vec_id AS cur, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, v) -> s + v), 5) AS dot FROM @embeddings a JOIN @embeddings b ON b.label = a.label AND b.vec_id = a.vec_id + 2", "SELECT a.vec_id AS base, b.vec_id AS cur, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot FROM @embeddings a JOIN @embeddings b ON b.label = a.label AND b.vec_id = a.vec_id + 2")
 
 # schedule: units are parts (brand = book, size = unit)
-both("voc_progress", "SELECT p_partkey, p_name FROM @part WHERE p_brand < 'Brand#3' OR (substr(p_brand, 1, 7) = 'Brand#3' AND p_size < 25)")
 both("voc_due_plan", "WITH h AS (SELECT user_id AS word, count(*) AS hits FROM @events GROUP BY user_id), t(hits, days) AS (VALUES (1, 1), (2, 3), (3, 7), (4, 14), (5, 30)) SELECT h.word, h.hits, t.days, CAST(ceil(t.days / 3.0) AS BIGINT) AS pieces FROM h JOIN t ON t.hits = least(h.hits, 5)")
 both("voc_weekly_due", "WITH h AS (SELECT user_id AS word, count(*) AS hits, max(ts) AS seen FROM @events GROUP BY user_id), t(hits, days) AS (VALUES (1, 1), (2, 3), (3, 7), (4, 14), (5, 30)) SELECT h.word, t.days, row_number() OVER (ORDER BY t.days, h.word) AS place FROM h JOIN t ON t.hits = least(h.hits, 5) WHERE t.days <= 7")
-both("voc_cards", "SELECT p_type AS word, min(p_name) AS gloss, count(DISTINCT p_brand) AS chapters, array_join(array_sort(collect_set(p_brand)), ',') AS at FROM @part GROUP BY p_type")

@@ -89,5 +89,4 @@ both("led_marks_remap", "WITH p AS (SELECT doc_id, substr(text, 1, 24) AS prefix
 both("gate_patches_merge", f"WITH {DEC}, {LATEST} SELECT d.doc_id, CASE WHEN l.kind IN ('accept', 'edit') AND length(d.text) > 100 THEN 'merged' WHEN l.kind IS NULL THEN 'unchanged' ELSE 'blocked' END AS verdict FROM @documents d LEFT JOIN latest l ON l.item = d.doc_id")
 both("gate_recap", f"WITH {DEC} SELECT item, CASE WHEN count_if(kind = 'false-positive') > 5 THEN 'fact' WHEN count_if(kind = 'reject') > 5 THEN 'structure' ELSE 'difficulty' END AS class, count_if(kind = 'accept') AS kept, count_if(kind = 'edit') AS supported FROM dec GROUP BY item")
 both("gate_round2_targets", f"WITH {DEC}, h AS (SELECT item, count_if(kind = 'reject') AS hard FROM dec GROUP BY item) SELECT d.doc_id, h.hard >= 2 AS flagged FROM @documents d JOIN h ON h.item = d.doc_id WHERE h.hard >= 2 OR d.text LIKE '% the %'")
-both("fn_classify_reason", "SELECT doc_id, CASE WHEN text LIKE '%License%' THEN 'lock' WHEN length(text) > 5000 THEN 'over-long' WHEN length(text) < 100 THEN 'length ratio' WHEN text LIKE '%|%' THEN 'unannotated' ELSE 'unknown' END AS reason FROM @documents")
 both("fn_chapter_number", "SELECT page_id, try_cast(regexp_extract(url, '([0-9]+)', 1) AS BIGINT) AS chapter FROM @pages")

@@ -499,12 +499,6 @@ def con_vocab_gap(spark, d):
     return concordance(spark, d).where("unmerged AND length(base) > 1").groupBy("base").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "base").limit(100)
 
 
-@query("con_annotation_debt", f"{_CON}, m AS (SELECT *, doc_id % 5 = 0 AS annotated FROM con WHERE NOT unmerged), e AS (SELECT base, max(annotated::INT) AS somewhere FROM m GROUP BY base) SELECT base, count(*) AS bare FROM m JOIN e USING (base) WHERE somewhere = 1 AND NOT annotated GROUP BY base")
-def con_annotation_debt(spark, d):
-    m = concordance(spark, d).where("NOT unmerged").groupBy("base").agg(F.count_if(F.col("doc_id") % 5 == 0).alias("a"), F.count_if(F.col("doc_id") % 5 != 0).alias("bare"))
-    return m.where("a > 0 AND bare > 0").select("base", "bare")
-
-
 @query("con_proper_suspects", f"WITH {SENT}, {LEX}, n AS (SELECT doc_id, unnest(regexp_extract_all(sent, '[a-z,] ([A-Z][a-z]+)', 1)) AS name FROM sent) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS chapters FROM n WHERE lower(name) NOT IN (SELECT word FROM lex) GROUP BY name HAVING count(DISTINCT doc_id) >= 2")
 def con_proper_suspects(spark, d):
     n = S.sentences(_docs(spark, d)).select("doc_id", F.explode(F.regexp_extract_all("sent", F.lit("[a-z,] ([A-Z][a-z]+)"), F.lit(1))).alias("name"))
