@@ -35,7 +35,7 @@ STEPS = 1_000_000  # posteriors are rounded to 1 / STEPS
 TEMPERATURE = 0.7  # default targets: observed shares to this power
 LEAST = 0.0
 ROUNDS, TOLERANCE = 200, 1e-3
-STALLED = 10  # rounds after which the residual has to be a hundredth less, or what is left is out of reach
+STALLED = 10  # rounds after which the risk has to be a thousandth less, or what is left is out of reach
 WRITTEN = 10  # rounds after which rates are written
 CELL_ROWS = 20_000  # of posteriors in a task
 
@@ -153,8 +153,8 @@ def solve(cells: DataFrame, domains: list[str], targets: dict[str, float] | None
     now, left = start, []
     residual = lambda got: max((abs(g - w) / w if w > 0 else g / s for g, w, s in zip(got, want, start) if s > 0), default=0.0)
     while residual(now) >= TOLERANCE and len(history) < ROUNDS:
-        left.append(residual(now))
-        if len(left) > STALLED and left[-1] > 0.99 * left[-1 - STALLED]:
+        left.append(sum((g - w) ** 2 / s for g, w, s in zip(now, want, start) if s > 0))
+        if len(left) > STALLED and left[-1] > 0.999 * left[-1 - STALLED]:
             break
         history.append([(g - w) / s if s > 0 else 0.0 for g, w, s in zip(now, want, start)])
         now = totals(history)
