@@ -40,8 +40,9 @@ def fid_oov_attribution(spark, d):
 
 @query("ver_vector_coverage")
 def ver_vector_coverage(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    unit = lambda k: e.where(F.col("vec_id") % 2 == k).select(F.floor(F.col("vec_id") / 20).alias("pair_id"), F.col("vec_id").alias("at"), "v")
+    # the table is read once for each side: sides that share a column lose it in cogroup
+    e = lambda: table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    unit = lambda k: e().where(F.col("vec_id") % 2 == k).select(F.floor(F.col("vec_id") / 20).alias("pair_id"), F.col("vec_id").alias("at"), "v")
     return A.vector_coverage(unit(0), unit(1))
 
 
