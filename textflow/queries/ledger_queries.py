@@ -83,9 +83,7 @@ both("agg_ledger_summary", f"WITH {DEC} SELECT kind, count(*) AS n, count(DISTIN
 both("agg_median", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5), 2) AS median FROM @orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 2) AS median FROM @orders GROUP BY o_orderpriority")
 both("agg_systematic_sample", "WITH r AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM @part) SELECT p_partkey, p_name FROM r WHERE rn % 25 = 1")
 both("agg_debt", f"WITH {DEC} SELECT 'rework' AS what, count(*) AS n FROM dec WHERE kind = 'reject' UNION ALL SELECT 'quarantine', count(*) FROM @labels WHERE toxic = 1 UNION ALL SELECT 'source', count(*) FROM @documents WHERE n_chars < 50")
-both("acc_tier_report", "SELECT role AS tier, count(*) AS segments, avg(length(text)) AS avg_chars, max(length(text)) AS max_chars, max_by(conv_id, struct(length(text), conv_id)) AS worst FROM @conversations GROUP BY role", "SELECT role AS tier, count(*) AS segments, avg(length(text)) AS avg_chars, max(length(text)) AS max_chars, arg_max(conv_id, (length(text), conv_id)) AS worst FROM @conversations GROUP BY role")
 both("acc_segment_inversions", "SELECT a.conv_id, a.turn, length(a.text) AS easy, length(b.text) AS hard FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE length(a.text) > length(b.text)")
-both("acc_cross_tier_summary", "WITH t AS (SELECT conv_id, array_join(array_sort(collect_set(role)), ',') AS tiers, count(DISTINCT role) AS n FROM @conversations GROUP BY conv_id) SELECT conv_id, tiers, CASE WHEN n >= 2 THEN 'complete' ELSE 'missing' END AS verdict FROM t")
 both("exp_cell_metrics", f"WITH {DEC} SELECT item % 2 AS f1, teacher % 2 AS f2, count(*) AS n, try_divide(count_if(kind = 'accept'), count(*)) AS coverage, sum(cost) AS cost FROM dec GROUP BY item % 2, teacher % 2")
 both("exp_factor_contrast", f"WITH {DEC}, c AS (SELECT item % 2 AS f1, teacher % 2 AS f2, count_if(kind = 'accept') / count(*) AS cov FROM dec GROUP BY item % 2, teacher % 2) SELECT avg(CASE WHEN f1 = 1 THEN cov END) - avg(CASE WHEN f1 = 0 THEN cov END) AS d1, avg(CASE WHEN f2 = 1 THEN cov END) - avg(CASE WHEN f2 = 0 THEN cov END) AS d2 FROM c")
 both("exp_truncation", "WITH t AS (SELECT conv_id, CASE WHEN length(text) > 40 THEN CASE WHEN text LIKE '%.' THEN 0 ELSE 1 END END AS cut FROM @conversations WHERE role = 'assistant') SELECT count(*) AS n, count(cut) AS known, try_divide(sum(cut), count(cut)) AS rate FROM t")
@@ -177,7 +175,18 @@ def sim_fuzzy_names(spark, d):
 # lineage
 both("lin_drift_full_outer", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS drift FROM (SELECT l_partkey AS k, count(*) AS n FROM @lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey) a FULL OUTER JOIN (SELECT l_partkey AS k, count(*) AS n FROM @lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) b ON a.k = b.k")
 both("lin_provenance", f"WITH {DEC} SELECT d.doc_id, sha2(d.text, 256) AS hash, count(dec.event_id) AS decisions, count(dec.event_id) > 0 AS found FROM @documents d LEFT JOIN dec ON dec.item = d.doc_id GROUP BY d.doc_id, d.text")
-both("lin_collisions", "SELECT c_name AS identity, count(DISTINCT o_orderkey) AS runs, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'fork' ELSE 'overwrite' END AS collision FROM @customer JOIN @orders ON o_custkey = c_custkey GROUP BY c_name HAVING count(DISTINCT o_orderkey) >= 2")
+# runs are orders, their artifacts lines: the part is the identity, part and supplier the path; an identity twice in a run falls back to its path
+both(
+    "lin_collisions",
+    """WITH k AS (SELECT l_orderkey AS run, concat(CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING)) AS path, CASE WHEN count(*) OVER (PARTITION BY l_orderkey, l_partkey) = 1 THEN CAST(l_partkey AS STRING) ELSE concat('path:', CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING)) END AS id FROM @lineitem),
+p AS (SELECT id, path, count(DISTINCT run) AS runs FROM k GROUP BY id, path),
+g AS (SELECT id, count(DISTINCT run) AS runs FROM k GROUP BY id HAVING count(DISTINCT run) >= 2),
+r AS (SELECT g.id, g.runs, count(*) AS paths, count_if(p.runs > 1) AS overwritten FROM g JOIN p ON p.id = g.id GROUP BY g.id, g.runs),
+rest AS (SELECT path, count(DISTINCT run) AS runs FROM k GROUP BY path HAVING count(DISTINCT run) >= 2),
+told AS (SELECT DISTINCT p.path FROM p JOIN g ON g.id = p.id WHERE p.runs > 1)
+SELECT id, CASE WHEN overwritten > 0 THEN 'overwrite' ELSE 'fork' END AS collision, runs, paths, overwritten FROM r
+UNION ALL SELECT concat('path:', rest.path), 'overwrite', rest.runs, 1, 1 FROM rest LEFT ANTI JOIN told ON told.path = rest.path""",
+)
 both("lin_publish_filter", "SELECT doc_id, CASE WHEN text LIKE '%@%.%' THEN 'mail' WHEN length(text) < 20 THEN 'empty' END AS excluded FROM @documents")
 both("lin_lexicon_snapshot", "SELECT p_brand AS source, count(*) AS words, sha2(array_join(array_sort(collect_list(p_name)), ','), 256) AS version FROM @part GROUP BY p_brand")
 both("lin_lexicon_decision", "WITH h AS (SELECT doc_id, sha2(text, 256) AS h FROM @documents) SELECT l.doc_id, CASE WHEN h.h IS NULL THEN 'live' WHEN substr(h.h, 1, 1) < '8' THEN 'store' ELSE 'reject' END AS decision FROM @labels l LEFT JOIN h ON h.doc_id = l.doc_id")

@@ -265,16 +265,6 @@ shared(
 )
 
 
-@query(
-    "fn_morph_mismatch",
-    f"WITH {TOK}, p AS (SELECT DISTINCT tok, left(tok, 4) AS stem FROM tok WHERE length(tok) > 5), c AS (SELECT tok, stem, CASE WHEN tok LIKE '%ing' THEN 'ing' WHEN tok LIKE '%ed' THEN 'ed' WHEN tok LIKE '%s' THEN 's' ELSE 'base' END AS cls FROM p) SELECT stem, count(*) AS n, count(DISTINCT cls) AS classes FROM c GROUP BY stem HAVING count(DISTINCT cls) > 1",
-)
-def fn_morph_mismatch(spark, d):
-    c = F.when(F.col("tok").endswith("ing"), "ing").when(F.col("tok").endswith("ed"), "ed").when(F.col("tok").endswith("s"), "s").otherwise("base")
-    p = _tok(spark, d).where("length(tok) > 5").select("tok").distinct().select(F.substring("tok", 1, 4).alias("stem"), c.alias("cls"))
-    return p.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cls").alias("classes")).where("classes > 1")
-
-
 shared(
     "conv_compaction_plan",
     """WITH t AS (SELECT conv_id, turn, role, ceil(length(text) / 4.0) AS est, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_back FROM @conversations)
