@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ngram_join", "token_output", "spotsigs", "quality", "wfst_pieces", "pii", "chat", "mixing", "toxicity", "ann")
+MODULES = ("ngram_join", "token_output", "spotsigs", "quality", "wfst_pieces", "pii", "chat", "mixing", "toxicity", "ann", "collocation", "orchard", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
