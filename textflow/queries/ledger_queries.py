@@ -57,22 +57,8 @@ both("led_state_after_undos", f"WITH {DEC}, r AS (SELECT *, sum(CASE WHEN kind =
 both("led_proposals", f"WITH {DEC} SELECT item, kind, count(*) AS support, max_by(cost, struct(ts, event_id)) AS last_value FROM dec WHERE kind IN ('edit', 'false-positive') GROUP BY item, kind HAVING count(*) >= 2", _duck(f"WITH {DEC} SELECT item, kind, count(*) AS support, arg_max(cost, (ts, event_id)) AS last_value FROM dec WHERE kind IN ('edit', 'false-positive') GROUP BY item, kind HAVING count(*) >= 2"))
 both("led_candidates", f"WITH {DEC}, e AS (SELECT item, teacher, max(CASE WHEN kind = 'undo' THEN 1 ELSE 0 END) AS undone FROM dec GROUP BY item, teacher) SELECT item, count(*) AS evidence, sum(1 - undone) / count(*) AS confidence, CASE WHEN count(*) > 20 THEN 'book' WHEN count(*) >= 2 THEN 'chapter' ELSE 'sentence' END AS scope FROM e GROUP BY item")
 both("led_reusable", f"WITH {DEC}, e AS (SELECT item, count(DISTINCT teacher) AS n FROM dec WHERE kind = 'accept' GROUP BY item), r AS (SELECT item, CASE WHEN n > 20 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END AS rank FROM e) SELECT item, rank FROM r WHERE rank >= 2")
-both("led_replay", f"WITH {DEC}, {LATEST} SELECT l.item, l.kind, d.doc_id FROM latest l JOIN @documents d ON d.doc_id = l.item WHERE l.kind <> 'reject'")
-both("led_replay_unmatched", f"WITH {DEC}, {LATEST} SELECT l.item, CASE WHEN l.kind = 'edit' THEN 'done' ELSE 'check' END AS verdict FROM latest l LEFT ANTI JOIN @documents d ON d.doc_id = l.item * 13")
 both("led_roster", "SELECT coalesce(c.c_custkey, o.o_custkey) AS teacher, CASE WHEN o.o_custkey IS NULL THEN 'registered only' WHEN c.c_custkey IS NULL THEN 'runs only' ELSE 'both' END AS state, coalesce(o.runs, 0) AS runs FROM @customer c FULL OUTER JOIN (SELECT o_custkey, count(*) AS runs FROM @orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey")
 both("led_chain_breaks", "WITH v AS (SELECT user_id, event_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM @events) SELECT user_id, count(*) AS versions, count_if(before IS NOT NULL AND value < before) AS breaks, min(CASE WHEN value < before THEN event_id END) AS first_break FROM v GROUP BY user_id")
-# a rollback voids the last version that still holds: heights of a stack that never falls below nothing
-shared(
-    "led_effective_versions",
-    """WITH v AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS step FROM @events),
-s AS (SELECT *, row_number() OVER w AS seq, sum(step) OVER w AS total FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-h AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS height FROM s),
-e AS (SELECT *, min(height) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_height FROM h)
-SELECT user_id, event_id, seq FROM e WHERE step = 1 AND least_height >= height""",
-    """WITH v AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
-l AS (SELECT user_id, list_reduce(list(CASE WHEN event_type = 'error' THEN [-1::BIGINT] ELSE [seq] END ORDER BY seq), lambda acc, x: CASE WHEN x[1] = -1 THEN acc[:-2] ELSE list_concat(acc, x) END, []::BIGINT[]) AS held FROM v GROUP BY user_id)
-SELECT v.user_id, v.event_id, v.seq FROM v JOIN (SELECT user_id, unnest(held) AS seq FROM l) h ON h.user_id = v.user_id AND h.seq = v.seq""",
-)
 
 # metrics and experiments
 both("agg_adoption_grouping_sets", f"WITH {DEC} SELECT item % 7 AS rule, to_date(ts) AS day, grouping(item % 7) AS g_rule, grouping(to_date(ts)) AS g_day, count_if(kind = 'accept') AS accepted, count_if(kind = 'reject') AS rejected, try_divide(count_if(kind = 'accept'), count_if(kind IN ('accept', 'reject'))) AS rate FROM dec GROUP BY GROUPING SETS ((item % 7), (to_date(ts)), ())")

@@ -143,26 +143,6 @@ def txt_splice_units(spark, d):
     return s.select("doc_id", "seg_idx", F.array_join(F.concat(F.array(F.lit("[REVISED]")), tail), " ").alias("spliced"), (F.array_join("u", " ") == F.trim(F.regexp_replace("body", r"\s+", " "))).alias("rebuilds"))
 
 
-@query(
-    "txt_anchor_phrases",
-    rf"WITH {SEG} SELECT doc_id, a AS anchor, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS a FROM seg) GROUP BY ALL",
-)
-def txt_anchor_phrases(spark, d):
-    s = S.segments(_docs(spark, d)).select("doc_id", F.explode(F.regexp_extract_all("body", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("anchor"))
-    return s.groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "txt_apply_actions",
-    f"WITH {SEG} SELECT doc_id, seg_idx, regexp_replace(body, '(\\b)the(\\b)', '\\1the (gloss)\\2') AS body, regexp_matches(body, '\\bthe\\b') AS applied FROM seg WHERE lang = 'en'".replace("\\\\", "\\"),
-)
-def txt_apply_actions(spark, d):
-    s = S.segments(_en(spark, d))
-    at = F.regexp_instr("body", F.lit(r"\bthe\b"))
-    out = F.when(at > 0, F.concat(F.substring("body", F.lit(1), at + 2), F.lit(" (gloss)"), F.substring("body", at + 3, F.length("body")))).otherwise(F.col("body"))
-    return s.select("doc_id", "seg_idx", out.alias("body"), (at > 0).alias("applied"))
-
-
 # --- sources
 
 
