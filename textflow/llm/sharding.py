@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,13 +112,7 @@ def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int], list[int]]:
         bits = max(units[i][1] for i in unsure)
         parted = sorted(i for i in unsure if units[i][1] == bits)
         step = min(STEP_BITS, bits)
-        spans: list[list[int]] = []
-        for i in parted:  # neighbours become one span
-            if spans and spans[-1][1] == units[i][0]:
-                spans[-1][1] += 1 << bits
-            else:
-                spans.append([units[i][0], units[i][0] + (1 << bits)])
-        within = reduce(or_, ((F.col("key") >= lo) & (F.col("key") < hi) for lo, hi in spans))
+        within = F.shiftright("key", bits).isin([units[i][0] >> bits for i in parted])
         gone = set(parted)
         units = [u for i, u in enumerate(units) if i not in gone] + summed(small.where(within), bits - step)
     starts = [units[e][0] for e in greedy(prefix, shards, enough)[:-1] if e < len(units)]
