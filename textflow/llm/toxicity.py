@@ -27,6 +27,7 @@ from . import common
 from .common import sigmoid
 
 SAMPLE_ROWS = 16_000  # positive rows, and unlabelled rows, that a model is fitted on, at most
+START_PRIOR = 0.1  # of the model whose margins the prior is estimated from
 FEATURES = 8_192
 PREFIXES = (4, 5, 6)
 BITS = 22
@@ -172,11 +173,12 @@ def unlabelled_sample(docs: DataFrame, modulus: int, held: int, bound: int) -> D
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS, prior: float | None = None) -> dict:
     """Fit on at most ``sample_rows`` confirmed toxic and as many unlabelled documents outside the held-out fold.
 
-    ``prior`` is the share of toxic documents among all; it is estimated if not given (below 200
-    rows: the share among labelled rows). With no positive row at all every text scores near 0.
+    ``prior`` is the share of toxic documents among all; it is estimated if not given, from the
+    same rows: neither the number nor the labels of rows in the held-out fold have a part in it.
+    Rows with a null id or label are no examples; an id that is listed or stored several times
+    counts once as an example. With no positive row at all every text scores near 0.
     """
-    known = labels.select("doc_id", "toxic")
-    toxic = common.labelled_sample(known.where("toxic = 1"), "toxic", modulus, held, sample_rows)
+    toxic = common.labelled_sample(labels.select("doc_id", "toxic").where("toxic = 1"), "toxic", modulus, held, sample_rows)
     drawn = unlabelled_sample(docs, modulus, held, sample_rows)
     both = toxic.select("doc_id", "label", F.lit(0).alias("drawn")).unionByName(drawn.select("doc_id", F.lit(0).alias("label"), F.lit(1).alias("drawn")))
     sample = common.materialize(both.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("drawn").alias("drawn")), "sample")
@@ -203,16 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
             out[test] = [w[rows[i]].sum() + b for i in test]
         return out
 
-    enough = len(rows) >= 200 and pos.any() and free.any()
+    both = pos.any() and free.any()
     if prior is None:
-        share = known.where("toxic IS NOT NULL").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-        prior = min(0.5, max(1e-3, share or 0.0))
-        if enough:
+        prior = START_PRIOR
+        if both:
             margin = margins(prior)
             prior = estimated_prior(margin[pos], margin[free])
     w, b = nnpu_fit(rows, pos.astype(int), len(keep), prior, drawn=free)
     a, c = 1.0, 0.0
-    if enough:
+    if both:
         margin = margins(prior)
         a, c = calibration(margin[pos], margin[free], prior)
     return {"keep": keep, "w": w * a, "b": float(b * a + c), "prior": prior}
@@ -248,7 +249,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document.
+
+    A null text is scored as an empty one; a row with a null id is scored and not held out;
+    repeated rows are scored alike; an empty table gives no row; texts are read whole.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     return score(docs, model).select(
