@@ -50,6 +50,26 @@ def stream_early_late(spark, d):
     return S.early_late(_events(spark, d), scratch(spark, "early"))
 
 
+@query("stream_undo_rates", "SELECT date_trunc('day', ts) AS day, count(*) AS events, count(*) FILTER (event_type = 'error') AS undos, count(*) FILTER (event_type = 'error') / count(*) AS undo_rate FROM events GROUP BY 1")
+def stream_undo_rates(spark, d):
+    return S.undo_rates(S.daily_rates(_events(spark, d), scratch(spark, "rates")))
+
+
+@query("stream_sliding_rates", """SELECT s AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 12 HOUR, date_trunc('day', ts) + INTERVAL 12 HOUR]) AS s FROM events)
+WHERE s <= ts AND ts < s + INTERVAL 1 DAY GROUP BY ALL""")
+def stream_sliding_rates(spark, d):
+    return S.daily_rates(_events(spark, d), scratch(spark, "sliding"), slide="12 hours").withColumn("value", F.round("value", 4))
+
+
+@query("stream_late_counts", "SELECT side, count(*) FILTER (kind = side OR side = 'read') AS n FROM (SELECT CASE WHEN json_extract_string(props, '$.k') IS NULL OR value IS NULL THEN 'rejected' ELSE 'accepted' END AS kind FROM events), (SELECT unnest(['accepted', 'late', 'rejected', 'read']) AS side) GROUP BY side")
+def stream_late_counts(spark, d):
+    """Rows accepted, rejected, late and read. Files come in no order of time, so the bound is wide here."""
+    rows, read = S.late_accounting(_events(spark, d), scratch(spark, "late"))
+    sides = [rows.agg(F.count_if(F.col("side") == side).alias("n")).select(F.lit(side).alias("side"), "n") for side in ("accepted", "late", "rejected")]
+    total = read.agg(F.sum("n").alias("n")).select(F.lit("read").alias("side"), "n")
+    return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(total)
+
+
 @query("stream_document_qc")
 def stream_document_qc(spark, d):
     docs = S.event_stream(spark, d, "documents.parquet", "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
