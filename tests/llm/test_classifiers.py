@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textflow.llm import quality, toxicity
 
@@ -42,6 +43,37 @@ def test_held_out_accuracy(labelled, module, label, column, mod, held):
     assert rows[2000] == rows[2001]
 
 
+@pytest.mark.parametrize(("module", "label", "column", "mod", "held"), [(quality, "quality", "quality_score", 4, 2), (toxicity, "toxic", "tox_score", 3, 1)])
+@pytest.mark.parametrize("few", [False, True])
+def test_labels_of_the_held_out_fold_have_no_part(labelled, module, label, column, mod, held, few):
+    """Flipping them, or leaving them out, changes no score: on many rows and on few."""
+    docs, labels = labelled
+    docs = docs.where("doc_id < 150") if few else docs
+    out = F.crc32(F.col("doc_id").cast("string")) % mod == held
+    flipped = labels.withColumn(label, F.when(out, 1 - F.col(label)).otherwise(F.col(label)))
+    scores = [sorted((r.doc_id, r[column]) for r in module.score(docs, module.fit(docs, x)).collect()) for x in (labels, flipped, labels.where(~out))]
+    assert scores[0] == scores[1] == scores[2] and len({s for _, s in scores[0]}) > 10
+
+
+@pytest.mark.parametrize(("query", "mod", "held"), [("op4_quality_nbsvm", 4, 2), ("op9_toxicity_nnpu", 3, 1)])
+def test_registered_query(spark, query, mod, held):
+    """held_out is the fold and predicted the threshold, for every row; rows of null and repeated ids are scored too."""
+    rows = (quality.QUERIES | toxicity.QUERIES)[query](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == held) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1
+
+
+@pytest.mark.parametrize(("module", "column"), [(quality, "quality_score"), (toxicity, "tox_score")])
+def test_null_and_repeated_ids(labelled, module, column):
+    docs, labels = labelled
+    odd = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = module.score(odd, module.fit(odd, labels.unionByName(labels.where("doc_id < 40")))).collect()
+    assert len(rows) == 946 and sum(r.doc_id is None for r in rows) == 3
+    by_text: dict = {}
+    assert all(by_text.setdefault(r.text, r[column]) == r[column] for r in rows)
+
+
 @pytest.mark.parametrize(("module", "label", "column"), [(quality, "quality", "quality_score"), (toxicity, "toxic", "tox_score")])
 def test_without_labels_or_documents(spark, labelled, nothing, module, label, column):
     docs, labels = labelled
