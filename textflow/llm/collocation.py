@@ -1,10 +1,10 @@
 """Phrase collocation mining by direct-address tiles of frequency-ranked word ids.
 
 Texts are cut into chunks of one language, whose words are numbered by a dictionary of the
-chunk's own. The words that occur often enough get an id by falling frequency, and the pairs
-of neighbouring ids are counted tile by tile: a tile is a square of ranks, whose sides double
-with the rank. A tile that holds about as many pairs as cells is counted with one dense
-``bincount``, a sparse one as sorted COO. The frequent pairs are ranked anew, and a pair
+chunk's own. The words that occur often enough in their language get an id by falling
+frequency, and the pairs of neighbouring ids are counted tile by tile: a tile is a rectangle of
+ranks, whose sides double with the rank. A tile that holds about as many pairs as cells is
+counted with one dense ``bincount``, a sparse one as sorted COO; a task adds up its chunks' counts. The frequent pairs are ranked anew, and a pair
 followed by a word is counted in the same way, and so on up to the longest phrases: a phrase
 can only be frequent if both phrases that are one word shorter are.
 
@@ -31,7 +31,8 @@ from . import common
 MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2_000
-CHUNK_BYTES = 12 << 20  # of text in a chunk
+CHUNK_BYTES = 8 << 20  # of text in a chunk
+HELD_PAIRS = 3_000_000  # counts that a task holds before it puts them out
 BLOCK_BYTES = 1 << 20  # of text that is split into words at a time
 TILE = 256  # ranks on a side of the first tile
 BITS = 25  # of a bit's number in the map of frequent pairs
@@ -118,8 +119,7 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     """Distinct pairs of ids and their counts, tile by tile."""
     if not len(left):
         return left, right, left
-    side_l, side_r = _side(left), _side(right)
-    tile = (side_l * 64 + side_r).astype(np.int16)
+    tile = (_side(left) * 64 + _side(right)).astype(np.int16)
     order = np.argsort(tile, kind="stable")
     left, right, tile = left[order], right[order], tile[order]
     ends = np.append(np.flatnonzero(np.diff(tile)) + 1, len(tile))
@@ -133,110 +133,181 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
             cell = np.flatnonzero(n)
             out.append((cell // wide_r + from_l, cell % wide_r + from_r, n[cell]))
         else:  # sorted COO
-            base = from_r + wide_r
-            key = np.sort(_keys(l, r, base))
-            first = np.flatnonzero(np.append(True, np.diff(key) != 0))
-            out.append((key[first] // base, key[first] % base, np.diff(np.append(first, len(key)))))
+            key, n = _merged(_keys(l, r, from_r + wide_r), None)
+            out.append((key // (from_r + wide_r), key % (from_r + wide_r), n))
         start = end
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _found(left: np.ndarray, right: np.ndarray, known: pd.DataFrame) -> np.ndarray:
-    """The id of each pair by the table ``known`` (left, right, id); -1 where it has none."""
-    out = np.full(len(left), -1, dtype=np.int64)
-    if not len(known) or not len(left):
-        return out
-    k_left, k_right = known["left"].to_numpy(np.int64), known["right"].to_numpy(np.int64)
-    base = int(max(right.max(), k_right.max())) + 1
-    keys = _keys(k_left, k_right, base)
-    order = np.argsort(keys)
-    keys, want = keys[order], _keys(left, right, base)
-    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    hit = keys[at] == want
-    out[hit] = known["id"].to_numpy(np.int64)[order][at[hit]]
+def _merged(key: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts (1 each, if not given)."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.empty(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n, first) if len(first) else n
+
+
+def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a pair, its id and the chunks it is in, to rows of a chunk with its pairs and ids."""
+    for pdf in batches:
+        if len(pdf):
+            sizes = pdf["chunks"].map(len).to_numpy()
+            chunks = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["chunks"]])
+            order = np.argsort(chunks, kind="stable")
+            chunks, pairs, ids = chunks[order], np.repeat(pdf["pair"].to_numpy(np.int64), sizes)[order], np.repeat(pdf["id"].to_numpy(np.int64), sizes)[order]
+            cuts = np.append(0, np.flatnonzero(np.diff(chunks)) + 1)
+            ends = np.append(cuts[1:], len(chunks))
+            yield pd.DataFrame({"chunk": chunks[cuts], "pairs": [pairs[a:b].tobytes() for a, b in zip(cuts, ends)], "ids": [ids[a:b].tobytes() for a, b in zip(cuts, ends)]})
+
+
+def _found(want: np.ndarray, known: pd.DataFrame) -> np.ndarray:
+    """The id of each pair by the packed ``known`` (pairs, ids); -1 where it has none."""
+    out = np.full(len(want), -1, dtype=np.int64)
+    if len(known) and len(want):
+        keys, ids = (np.frombuffer(b"".join(known[c]), np.int64) for c in ("pairs", "ids"))
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = keys[at] == want
+        out[hit] = ids[order][at[hit]]
     return out
 
 
-def _counted(chunk: int, lang: str, ids: np.ndarray, words: np.ndarray, n: int, last: bool) -> pd.DataFrame:
-    """The counts of the phrases of n + 1 words of a chunk, and (if more levels follow) its ids as one row.
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype(np.int32 if not len(ids) or ids.max() < 1 << 31 else np.int64).tobytes() + (b"4" if not len(ids) or ids.max() < 1 << 31 else b"8")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if data[-1:] == b"4" else np.int64, (len(data) - 1) // int(data[-1:])).astype(np.int64)
 
-    ``ids[i]`` is the phrase of n words that starts at word i, -1 where it is not frequent.
+
+_LEVEL = "chunk long, words binary, ids binary"
+_NOTHING = pd.DataFrame({c.split()[0]: np.empty(0, object) for c in _LEVEL.split(", ")})
+
+
+def _level(chunk: int, words: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
+    """A chunk's words and the phrases of n words that start at them (-1 where none is frequent), as one row.
+
+    Words that no such phrase covers are left out, but for one place after each run.
     """
     covered = ids >= 0
-    for k in range(1, n):  # word i is part of a phrase that starts up to n - 1 words before
-        covered[k:] |= ids[: len(ids) - k] >= 0 if k < len(ids) else False
-    keep = covered | np.append(False, covered[:-1])  # and one place after each run, to part it from the next
-    ids, words = np.where(covered, ids, -1)[keep], np.where(covered, words, -1)[keep]
-    starts = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    starts = starts[starts + n < len(words)]
-    l, r, c = tile_counts(ids[starts], words[starts + n])
-    held = [] if last else [(0, 0, 0, ids.tobytes(), words.tobytes())]
-    out = pd.DataFrame({"left": l, "right": r, "n": c, "ids": None, "words": None})
-    out = pd.concat([out, pd.DataFrame(held, columns=out.columns)]) if held else out
-    return pd.DataFrame({"chunk": chunk, "lang": lang, **{name: out[name].to_numpy() for name in out}})
-
-
-_COUNTS = "chunk long, lang string, left long, right long, n long, ids binary, words binary"
-_NOTHING = pd.DataFrame({c.split()[0]: np.empty(0, object) for c in _COUNTS.split(", ")})
-
-
-def _first(last: bool):
-    def run(codes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(known):
-            return _NOTHING.copy()
-        codes = codes.sort_values("at")
-        numbers = np.concatenate([np.frombuffer(b, np.int32) for b in codes["codes"]] + [np.zeros(1, np.int32)])
-        gaps = np.cumsum([len(b) // 4 for b in codes["codes"]])
-        numbers = np.insert(numbers[:-1], gaps, 0)  # blocks are cut between pieces
-        to = np.full(max(int(numbers.max()), int(known["at"].max())) + 1, -1, dtype=np.int64)
-        to[known["at"]] = known["id"]
-        words = to[numbers]
-        return _counted(int(codes["chunk"].iloc[0]), codes["lang"].iloc[0], words, words, 1, last)
+    for k in range(1, min(n, len(ids))):  # word i is part of a phrase that starts up to n - 1 words before
+        covered[k:] |= ids[:-k] >= 0
+    keep = covered | np.append(False, covered[:-1]) if len(ids) else covered
+    words, ids = np.where(covered, words, -1)[keep], np.where(covered, ids, -1)[keep]
+    return pd.DataFrame({"chunk": [chunk], "words": [_packed(words)], "ids": [None if n == 1 else _packed(ids)]})
+
+
+def _pairs(words: bytes, ids: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, ids, and where phrases of n + 1 words may start: both phrases of n words in it are frequent; their left and right ids."""
+    w = _unpacked(words)
+    i = w if ids is None else _unpacked(ids)
+    starts = np.flatnonzero((i[:-1] >= 0) & (i[1:] >= 0))
+    return w, i, starts, w[np.minimum(starts + n, max(len(w) - 1, 0))]
+
+
+def _counts(n: int, base: int):
+    """Counts of phrases of n + 1 words over the chunks of a task, put together before they leave it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, counts, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _merged(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def out(key: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(key), 200_000):
+                yield pd.DataFrame({"pair": key[at : at + 200_000], "n": count[at : at + 200_000]})
+
+        for pdf in batches:
+            for words, ids in zip(pdf["words"], pdf["ids"]):
+                _, i, starts, right = _pairs(words, ids, n)
+                l, r, c = tile_counts(i[starts], right)
+                keys.append(_keys(l, r, base))
+                counts.append(c)
+                held += len(c)
+                if held > HELD_PAIRS:
+                    key, count = merged()
+                    if len(key) > HELD_PAIRS // 2:
+                        yield from out(key, count)
+                        key, count = key[:0], count[:0]
+                    keys, counts, held = [key], [count], len(key)
+        yield from out(*merged())
 
     return run
 
 
-def _next(n: int, last: bool):
+def _first(codes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's word numbers to ids."""
+    if not len(codes) or not len(known):
+        return _NOTHING.copy()
+    codes = codes.sort_values("at")
+    parts = []
+    for block in codes["codes"]:  # blocks are cut between pieces: number 0 stands there
+        parts += [np.zeros(1, np.int32), np.frombuffer(block, np.int32)]
+    numbers = np.concatenate(parts)
+    to = np.full(max(int(numbers.max()), int(known["at"].max())) + 1, -1, dtype=np.int64)
+    to[known["at"]] = known["id"]
+    words = to[numbers]
+    return _level(int(codes["chunk"].iloc[0]), words, words, 1)
+
+
+def _next(n: int, base: int):
     def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Phrases of n words to phrases of n + 1."""
         if not len(rows) or not len(known):
             return _NOTHING.copy()
-        ids, words = (np.frombuffer(rows[c].iloc[0], np.int64) for c in ("ids", "words"))
-        starts = np.flatnonzero(ids >= 0)
-        starts = starts[starts + n < len(words)]
-        starts = starts[words[starts + n] >= 0]
+        words, ids, starts, right = _pairs(rows["words"].iloc[0], rows["ids"].iloc[0], n)
         new = np.full(len(ids), -1, dtype=np.int64)
-        new[starts] = _found(ids[starts], words[starts + n], known)
-        return _counted(int(rows["chunk"].iloc[0]), rows["lang"].iloc[0], new, words, n + 1, last)
+        new[starts] = _found(_keys(ids[starts], right, base), known)
+        return _level(int(rows["chunk"].iloc[0]), words, new, n + 1)
 
     return run
 
 
-def _bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def _bit(pair: np.ndarray) -> np.ndarray:
+    h = pair.astype(np.uint64)
+    for mix in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(mix)
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        bit = np.unique(_bit(pdf["left"].to_numpy(), pdf["right"].to_numpy()))
+        bit = np.unique(_bit(pdf["pair"].to_numpy()))
         byte, first = np.unique(bit >> 3, return_index=True)
         yield pd.DataFrame({"byte": byte, "bits": np.bitwise_or.reduceat(1 << (bit & 7), first) if len(bit) else bit})
 
 
+def _likely(n: int, base: int, shared):
+    """chunk, pair: a chunk's distinct phrases of n + 1 words whose bit is set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, words, ids in zip(pdf["chunk"], pdf["words"], pdf["ids"]):
+                _, i, starts, right = _pairs(words, ids, n)
+                pair = np.unique(_keys(i[starts], right, base))
+                bit = _bit(pair)
+                pair = pair[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                yield pd.DataFrame({"chunk": chunk, "pair": pair})
+
+    return run
+
+
 def ranked(df: DataFrame, n: Column, *order: str) -> DataFrame:
-    """``df`` with ``id``: 0, 1, ... for each lang by falling ``n``, then ``order``.
+    """``df`` with ``id``: 0, 1, ... by falling ``n``, then ``order``.
 
-    A sort over ranges of rows; only the count of each range and lang is put together.
+    A sort over ranges of rows; only the sizes of these ranges are put together.
     """
-    rows = df.repartitionByRange(F.col("lang"), n.desc(), *[F.col(c) for c in order])
-    rows = rows.sortWithinPartitions(F.col("lang"), n.desc(), *[F.col(c) for c in order])
+    by = [n.desc(), *[F.col(c) for c in order]]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
     rows = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "ranks").withColumn("range", F.shiftrightunsigned("row", 33))
-    ranges = rows.groupBy("lang", "range").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(ranges.select("lang", "range", "first", before.alias("before")), ["lang", "range"]).withColumn("id", F.col("before") + F.col("row") - F.col("first")).drop("row", "range", "first", "before")
+    ranges = rows.groupBy("range").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    return rows.join(ranges.select("range", (before - F.col("first")).alias("shift")), "range").withColumn("id", F.col("row") + F.col("shift")).drop("row", "range", "shift")
 
 
 def _written(df: DataFrame, name: str) -> Callable[[], DataFrame]:
@@ -260,39 +331,33 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     own = coded().where("word IS NOT NULL").select("chunk", "lang", "at", "word", "n")
     counts = own.groupBy("lang", "word").agg(F.sum("n").alias("a"))
     totals = own.groupBy("lang").agg(F.sum("n").alias("n"))
-    vocabulary = common.materialize(ranked(counts.where(F.col("a") >= min_count), F.col("a"), "word"), "words")
+    vocabulary = common.materialize(ranked(counts.where(F.col("a") >= min_count), F.col("a"), "lang", "word"), "words")
+    base = max(1, vocabulary.count())
     known = own.join(vocabulary, ["lang", "word"]).select("chunk", "at", "id")
     level = vocabulary.select("lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "a", "id")
     found = [level]
-    codes = coded().where("codes IS NOT NULL").select("chunk", "lang", "at", "codes")
-    rows = codes.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_first(max_words == 2), _COUNTS)
-    for n in range(2, max_words + 1):
-        table = _written(rows, f"counts{n}")
-        pairs = table().where("ids IS NULL").select("chunk", "lang", "left", "right", "n")
-        sums = pairs.groupBy("lang", "left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-        frequent = common.materialize(ranked(sums, F.col("a"), "left", "right"), f"phrases{n}")
+    codes = coded().where("codes IS NOT NULL").select("chunk", "at", "codes")
+    rows = codes.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_first, _LEVEL)
+    for n in range(1, max_words):  # from phrases of n words to those of n + 1
+        table = _written(rows, f"level{n}")
+        sums = table().mapInPandas(_counts(n, base), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+        frequent = common.materialize(ranked(sums, F.col("a"), "pair"), f"frequent{n}")
         shorter = level.select("lang", F.col("id").alias("left"), "ids", "phrase")
-        word = vocabulary.select("lang", F.col("id").alias("right"), "word")
-        longer = frequent.join(shorter, ["lang", "left"]).join(word, ["lang", "right"])
-        level = common.materialize(longer.select("lang", F.concat("ids", F.array("right")).alias("ids"), F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "a", "id"), f"level{n}")
+        word = vocabulary.select(F.col("id").alias("right"), "word")
+        longer = frequent.withColumns({"left": F.expr(f"pair DIV {base}"), "right": F.col("pair") % base}).join(shorter, "left").join(word, "right")
+        level = common.materialize(longer.select("lang", F.concat("ids", F.array("right")).alias("ids"), F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "a", "id"), f"phrases{n}")
         found.append(level)
-        if n == max_words:
+        if n + 1 == max_words:
             break
         # bytes of the map: 2 ** (BITS - 3) rows at most
-        made = frequent.select("left", "right").mapInPandas(_bits, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
+        made = frequent.select("pair").mapInPandas(_bits, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
         bitmap = np.zeros(1 << (BITS - 3), dtype=np.uint8)
         bitmap[made["byte"].to_numpy(np.int64)] = made["bits"].to_numpy(np.uint8)
-        shared = spark.sparkContext.broadcast(bitmap)
-
-        def likely(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                bit = _bit(pdf["left"].to_numpy(), pdf["right"].to_numpy())
-                yield pdf[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-
-        some = pairs.select("chunk", "lang", "left", "right").mapInPandas(likely, "chunk long, lang string, left long, right long")
-        known = some.join(frequent.select("lang", "left", "right", "id"), ["lang", "left", "right"]).select("chunk", "left", "right", "id")
-        held = table().where("ids IS NOT NULL").select("chunk", "lang", "ids", "words")
-        rows = held.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_next(n - 1, n + 1 == max_words), _COUNTS)
+        likely = table().mapInPandas(_likely(n, base, spark.sparkContext.broadcast(bitmap)), "chunk long, pair long")
+        # a row for each pair and some chunks (those that 64 tasks made), so that a pair in all chunks is no long row
+        held = likely.groupBy("pair", F.expr(f"chunk DIV {64 << 32}").alias("some")).agg(F.collect_list("chunk").alias("chunks"))
+        known = held.join(frequent.select("pair", "id"), "pair").select("pair", "id", "chunks").mapInPandas(_by_chunk, "chunk long, pairs binary, ids binary")
+        rows = table().groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_next(n, base), _LEVEL)
     return reduce(DataFrame.unionByName, (x.drop("id") for x in found)), totals
 
 
