@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import forms
 from ..functions import text as T
 from ..plans.layout import small_side
 
@@ -20,9 +21,9 @@ def lexicon_of(texts: DataFrame) -> DataFrame:
 
 
 def resolve(types: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """tok, base: each type's lexicon word (itself, its irregular singular, or the first variant that is one); null if none."""
-    forms = types.select("tok", F.posexplode(F.filter(F.concat(F.array("tok", T.singular(F.col("tok"))), T.variants(F.col("tok"))), lambda x: x.isNotNull())).alias("p", "word"))
-    found = forms.join(small_side(lexicon.select("word")), "word").groupBy("tok").agg(F.min_by("word", "p").alias("base"))
+    """tok, base: each type's lexicon word (itself, its irregular singular, the base of an irregular verb or comparative, or the first variant that is one); null if none."""
+    each = types.select("tok", F.posexplode(F.filter(F.concat(F.array("tok", T.singular(F.col("tok"))), forms.irregular_bases(F.col("tok")), T.variants(F.col("tok"))), lambda x: x.isNotNull())).alias("p", "word"))
+    found = each.join(small_side(lexicon.select("word")), "word").groupBy("tok").agg(F.min_by("word", "p").alias("base"))
     return types.join(found, "tok", "left")
 
 

@@ -58,18 +58,6 @@ def ver_plot_weight(spark, d):
     return S.segments(_docs(spark, d).where("lang = 'en'")).select("doc_id", "seg_idx", w.alias("weight"), F.when(w >= 0.55, "high").when(w >= 0.25, "mid").otherwise("low").alias("level"))
 
 
-_PROFILES = "[struct_pack(p := 'family', f := tok || 's'), struct_pack(p := 'family', f := tok || 'ed'), struct_pack(p := 'family', f := tok || 'ing'), struct_pack(p := 'grade', f := regexp_replace(tok, '(?:s|es|ed|ing)$', '')), struct_pack(p := 'double', f := tok || right(tok, 1) || 'ed')]"
-
-
-@query("fn_variants_profiles", f"WITH {TOK}, ty AS (SELECT DISTINCT tok FROM tok WHERE length(tok) > 3), u AS (SELECT tok, unnest({_PROFILES}) AS v FROM ty) SELECT tok, v.p AS profile, v.f AS form FROM u")
-def fn_variants_profiles(spark, d):
-    tok = F.col("tok")
-    rule = lambda name, form: F.struct(F.lit(name).alias("profile"), form.alias("form"))
-    rules = [rule("family", F.concat(tok, F.lit(s))) for s in ("s", "ed", "ing")]
-    rules += [rule("grade", F.regexp_replace(tok, "(?:s|es|ed|ing)$", "")), rule("double", F.concat(tok, F.right(tok, F.lit(1)), F.lit("ed")))]
-    return _tok(spark, d).select("tok").distinct().where("length(tok) > 3").select("tok", F.explode(F.array(*rules)).alias("v")).select("tok", "v.*")
-
-
 @query("gate_stage_scan", f"WITH {SEG} SELECT doc_id, seg_idx, {WC.format('body')} > 120 AS vocab, {WC.format('body')} > 60 AS syntax, NOT regexp_matches(trim(body), '[.!?]$') AS coherence FROM seg")
 def gate_stage_scan(spark, d):
     n = T.word_count(F.col("body"))

@@ -264,8 +264,11 @@ def vec_cosine(spark, d):
 
 # --- syntax
 
-_CASES = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN '{letter}'" for letter, pattern in T.TAGS)
-_TAGGED = f"array_to_string(list_transform(regexp_extract_all(lower({{0}}), '[a-z0-9'']+|,'), lambda w: CASE {_CASES} ELSE 'o' END), '')"
+_QUOTED = lambda words: ", ".join("'" + w + "'" for w in words)
+_FITS = lambda words, ends: " OR ".join([f"w IN ({_QUOTED(words)})"] * bool(words) + [f"w LIKE '%{e}' AND length(w) > {len(e)}" for e in ends])
+_CASES = " ".join(f"WHEN {_FITS(words, ends)} THEN '{letter}'" for letter, words, ends in T.TAGS)
+_PLAIN = "regexp_replace(lower({0}), '(^|[^a-z0-9''])no sooner($|[^a-z0-9''])', '\\1hardly\\2', 'g')"
+_TAGGED = f"array_to_string(list_transform(regexp_extract_all({_PLAIN}, '[a-z0-9'']+|,'), lambda w: CASE {_CASES} ELSE 'o' END), '')"
 PASSIVE, RELCL, PASTPERF = (f"len(regexp_extract_all({_TAGGED}, '{p}'))::INT" for p in (T.PASSIVE_TAGS, T.RELATIVE_TAGS, T.PAST_PERFECT_TAGS))
 _NOQ = """regexp_replace(sent, '"[^"]*"', ' ', 'g')"""
 
@@ -283,15 +286,15 @@ _syntax("syn_pastperf", PASTPERF, T.past_perfects)
 
 @query("syn_sentence_flags", f"WITH {SENT} SELECT doc_id, seg_idx, sent_idx, {WC.format('sent')} > 20 AS overlong, {PASSIVE.format(_NOQ)} > 0 AS passive, {RELCL.format(_NOQ)} > 0 AS relcl, {PASTPERF.format(_NOQ)} > 0 AS pastperf FROM sent WHERE lang = 'en'")
 def syn_sentence_flags(spark, d):
-    q = T.strip_quotes(F.col("sent"))
-    flags = ((T.word_count(F.col("sent")) > 20).alias("overlong"), (T.passives(q) > 0).alias("passive"), (T.relative_clauses(q) > 0).alias("relcl"), (T.past_perfects(q) > 0).alias("pastperf"))
-    return S.sentences(_en(spark, d)).select("doc_id", "seg_idx", "sent_idx", *flags)
+    s = S.sentences(_en(spark, d)).withColumn("c", T.syntax(T.strip_quotes(F.col("sent"))))
+    flags = [(F.col(f"c.{name}") > 0).alias(name) for name in ("passive", "relcl", "pastperf")]
+    return s.select("doc_id", "seg_idx", "sent_idx", (T.word_count(F.col("sent")) > 20).alias("overlong"), *flags)
 
 
 @query("syn_anchor_masked", f"WITH {SENT} SELECT doc_id, sum({PASSIVE.format('replace(' + _NOQ + chr(44) + chr(39) + ' that ' + chr(39) + chr(44) + chr(39) + ' ANCHOR ' + chr(39) + ')')})::BIGINT AS passive, sum({RELCL.format('replace(' + _NOQ + chr(44) + chr(39) + ' that ' + chr(39) + chr(44) + chr(39) + ' ANCHOR ' + chr(39) + ')')})::BIGINT AS relcl FROM sent WHERE lang = 'en' GROUP BY doc_id")
 def syn_anchor_masked(spark, d):
     q = F.replace(T.strip_quotes(F.col("sent")), F.lit(" that "), F.lit(" ANCHOR "))
-    return S.sentences(_en(spark, d)).groupBy("doc_id").agg(F.sum(T.passives(q)).alias("passive"), F.sum(T.relative_clauses(q)).alias("relcl"))
+    return S.sentences(_en(spark, d)).withColumn("c", T.syntax(q)).groupBy("doc_id").agg(F.sum("c.passive").alias("passive"), F.sum("c.relcl").alias("relcl"))
 
 
 # --- lexicons
@@ -380,9 +383,8 @@ def qc_narrative_len(spark, d):
 @query("qc_syntax_counts", f"WITH {SENT} SELECT doc_id, sum({PASSIVE.format(_NOQ)})::BIGINT AS passive, sum({RELCL.format(_NOQ)})::BIGINT AS relcl, sum({PASTPERF.format(_NOQ)})::BIGINT AS pastperf, sum(len(regexp_extract_all({_NOQ}, '\\b\\w+\\s+that\\s+\\w+')))::BIGINT AS that_review FROM sent WHERE lang = 'en' GROUP BY doc_id")
 def qc_syntax_counts(spark, d):
     q = T.strip_quotes(F.col("sent"))
-    return S.sentences(_en(spark, d)).groupBy("doc_id").agg(
-        F.sum(T.passives(q)).alias("passive"), F.sum(T.relative_clauses(q)).alias("relcl"), F.sum(T.past_perfects(q)).alias("pastperf"), F.sum(F.regexp_count(q, F.lit(r"\b\w+\s+that\s+\w+"))).alias("that_review")
-    )
+    s = S.sentences(_en(spark, d)).select("doc_id", T.syntax(q).alias("c"), F.regexp_count(q, F.lit(r"\b\w+\s+that\s+\w+")).alias("that"))
+    return s.groupBy("doc_id").agg(F.sum("c.passive").alias("passive"), F.sum("c.relcl").alias("relcl"), F.sum("c.pastperf").alias("pastperf"), F.sum("that").alias("that_review"))
 
 
 @query("qc_reinforce", f"WITH {TOK}, {LEX}, {RES}, q AS (SELECT word FROM lex WHERE pending) SELECT doc_id, count(DISTINCT base) AS words_hit, count(*) AS token_hits FROM tok JOIN res USING (tok) WHERE base IN (SELECT word FROM q) GROUP BY doc_id")
@@ -395,7 +397,7 @@ def qc_reinforce(spark, d):
 @query("qc_gates", f"WITH {SENT} SELECT doc_id, doc_id % 10 >= 5 OR sum({PASSIVE.format(_NOQ)}) = 0 AS passive_ok, doc_id % 10 >= 8 OR sum({RELCL.format(_NOQ)}) = 0 AS relcl_ok FROM sent WHERE lang = 'en' GROUP BY doc_id")
 def qc_gates(spark, d):
     q = T.strip_quotes(F.col("sent"))
-    g = S.sentences(_en(spark, d)).groupBy("doc_id").agg(F.sum(T.passives(q)).alias("p"), F.sum(T.relative_clauses(q)).alias("r"))
+    g = S.sentences(_en(spark, d)).withColumn("c", T.syntax(q)).groupBy("doc_id").agg(F.sum("c.passive").alias("p"), F.sum("c.relcl").alias("r"))
     return g.select("doc_id", ((F.col("doc_id") % 10 >= 5) | (F.col("p") == 0)).alias("passive_ok"), ((F.col("doc_id") % 10 >= 8) | (F.col("r") == 0)).alias("relcl_ok"))
 
 

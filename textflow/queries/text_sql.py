@@ -1,10 +1,12 @@
 """Common table expressions of the text operators for DuckDB."""
 
+from ..functions.forms import irregular_pairs
+from ..functions.text import ABBREVIATIONS, IRREGULAR_NOUNS
+
 TOKENS = r"""list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z''-]*'), lambda w: regexp_replace(regexp_replace(regexp_replace(lower(w), '^[''-]+', ''), '[''-]+$', ''), '''s$', '')), lambda w: w <> '')"""
 SEG = """seg AS (SELECT doc_id, lang, (i + 1)::INT AS seg_idx, l[i + 1] AS body FROM (SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) d, unnest(range(len(l))) AS t(i))"""
 SQUEEZE = r"""trim(regexp_replace(regexp_replace({0}, '[>—-]+', ' ', 'g'), '\s+', ' ', 'g'))"""
-ABBR = "Mr|Mrs|Ms|Dr|St|Jr|Sr|Prof|Capt|Sgt|Lt|Gen|Gov|Sen|Rep|Rev|No|vs|Co|Inc|Ltd"
-_JOIN = r"""'(^|[ \x01])((?i:""" + ABBR + r""")\.|(?:[A-Z]\.)+) \x01', '\1\2 ', 'g')"""
+_JOIN = r"""'(^|[ \x01])((?i:""" + ABBREVIATIONS + r""")\.|(?:[A-Z]\.)+) \x01', '\1\2 ', 'g')"""
 SENT = (
     SEG
     + r""", cutm AS (SELECT doc_id, lang, seg_idx, list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace("""
@@ -30,7 +32,11 @@ _ALL = (
     + [("tok LIKE '%ed' AND length(tok) > 5 AND substr(tok, length(tok) - 2, 1) = substr(tok, length(tok) - 3, 1)", _CUT.format(3))]
     + [("tok LIKE '%er'", _CUT.format(1)), ("tok LIKE '%er'", _CUT.format(2)), ("tok LIKE '%est'", _CUT.format(3)), ("tok LIKE '%est'", _CUT.format(2))]
 )
-_IRR = "CASE tok " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (("men", "man"), ("women", "woman"), ("children", "child"), ("feet", "foot"), ("teeth", "tooth"), ("mice", "mouse"), ("wolves", "wolf"), ("leaves", "leaf"), ("lives", "life"), ("geese", "goose"))) + " END"
+_IRR = "CASE tok " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sorted(IRREGULAR_NOUNS.items())) + " END"
+_BASES: dict = {}
+for _form, _base in irregular_pairs():
+    _BASES.setdefault(_form, []).append(_base)
+_IRRV = "CASE tok " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in sorted(_BASES.items())) + " ELSE []::VARCHAR[] END"
 
 
 def forms(pairs) -> str:
@@ -40,7 +46,7 @@ def forms(pairs) -> str:
 FORMS, FORMS_PENDING = forms(_ALL), forms(_FORMS_HEAD + _ED + _ING)
 #: types -> res(tok, base); needs tok and lex
 RES = f"""types AS (SELECT DISTINCT tok FROM tok),
-form AS (SELECT tok, i AS p, l[i + 1] AS word FROM (SELECT tok, list_concat(list_filter([tok, {_IRR}], lambda x: x IS NOT NULL), {FORMS}) AS l FROM types) f, unnest(range(len(l))) AS t(i)),
+form AS (SELECT tok, i AS p, l[i + 1] AS word FROM (SELECT tok, list_concat(list_filter([tok, {_IRR}], lambda x: x IS NOT NULL), {_IRRV}, {FORMS}) AS l FROM types) f, unnest(range(len(l))) AS t(i)),
 res AS (SELECT t.tok, b.base FROM types t LEFT JOIN (SELECT tok, arg_min(word, p) AS base FROM form SEMI JOIN lex USING (word) GROUP BY tok) b USING (tok)),
 pend AS (SELECT DISTINCT tok FROM (SELECT tok, unnest({FORMS_PENDING}) AS word FROM types) f WHERE word IN (SELECT word FROM lex WHERE pending))"""
 WC = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
