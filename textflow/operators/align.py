@@ -6,12 +6,15 @@ in Python, on features that Spark has worked out.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import lexicon as L
 
 THRESHOLD = 0.45
 ROWS = "pair_id LONG, kind STRING, base_at INT, cur_at INT, lost_signals ARRAY<STRING>"
@@ -24,22 +27,48 @@ def features(sents: DataFrame) -> DataFrame:
 
 
 def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, earliest first. The table is filled a row at a time in numpy."""
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    other = np.array(b, dtype=object)
-    for i in range(n - 1, -1, -1):
-        took = np.where(other == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(took[::-1])[::-1] if m else took
+    """A longest common subsequence: where two elements differ, the first text moves on unless that shortens what is left.
+
+    Only matches are looked at (Hunt and Szymanski, 1977). ``ends[k]`` is the last place of b
+    (negated, so that it rises) from which k + 1 matches with the rest of a are left; each
+    element of a changes some of them, and the changes are kept, so that the walk forwards
+    can take them back. Memory goes with the number of matches, not with the product of lengths.
+    """
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    ends: list[int] = []
+    changes: list[list[tuple[int, int | None]]] = [[] for _ in a]
+    for i in range(len(a) - 1, -1, -1):
+        for j in places.get(a[i], ()):
+            k = bisect_left(ends, -j)
+            if k == len(ends):
+                changes[i].append((k, None))
+                ends.append(-j)
+            elif ends[k] > -j:
+                changes[i].append((k, ends[k]))
+                ends[k] = -j
+
+    def back(held: list[int], i: int) -> None:
+        for k, old in reversed(changes[i] if i < len(a) else []):
+            if old is None:
+                held.pop()
+            else:
+                held[k] = old
+
+    later = list(ends)
+    back(later, 0)
     out, i, j = [], 0, 0
-    while i < n and j < m:
+    while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
+            i, j, step = i + 1, j + 1, True
         else:
-            j += 1
+            step = bisect_right(later, -j) >= bisect_right(ends, -(j + 1))
+            i, j = (i + 1, j) if step else (i, j + 1)
+        if step:
+            back(ends, i - 1)
+            back(later, i)
     return out
 
 
@@ -86,6 +115,22 @@ def align(base: DataFrame, cur: DataFrame) -> DataFrame:
     return features(base).groupBy("pair_id").cogroup(features(cur).groupBy("pair_id")).applyInPandas(_align, ROWS)
 
 
+def attribution(base: DataFrame, cur: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """pair_id, removed_with_sentence, removed_by_rewrite, kept: what became of the base's hard words, sentence by sentence.
+
+    A word is hard if no form of it is in the lexicon. One that recurs in a sentence counts
+    once there; a pair without hard words has no row.
+    """
+    words = F.explode(F.array_distinct(T.tokens(F.col("sent")))).alias("tok")
+    hard = L.mark(base.select("pair_id", F.col("at").alias("base_at"), words), lexicon).where("oov").select("pair_id", "base_at", "tok")
+    rows = align(base, cur).where("kind <> 'added'").select("pair_id", "base_at", "cur_at", "kind")
+    now = cur.select("pair_id", F.col("at").alias("cur_at"), F.array_distinct(T.tokens(F.col("sent"))).alias("have"))
+    j = hard.join(rows, ["pair_id", "base_at"]).join(now, ["pair_id", "cur_at"], "left")
+    stays = F.coalesce(F.array_contains("have", F.col("tok")), F.lit(False))
+    went = F.col("kind") == "lost"
+    return j.groupBy("pair_id").agg(F.count_if(went).alias("removed_with_sentence"), F.count_if(~went & ~stays).alias("removed_by_rewrite"), F.count_if(~went & stays).alias("kept"))
+
+
 def _cover(tau: float, gap: float):
     def run(key: tuple, base: pd.DataFrame, cur: pd.DataFrame) -> pd.DataFrame:
         base, cur = base.sort_values("at"), cur.sort_values("at")

@@ -24,18 +24,9 @@ def ver_align(spark, d):
 
 @query("fid_oov_attribution")
 def fid_oov_attribution(spark, d):
-    """Hard words of the base: in sentences that went, or no longer in the matched sentence."""
+    """Hard words of each pair's base: gone with their sentence, gone from the matched sentence, or kept."""
     base, cur = _sides(spark, d)
-    rows = A.align(base, cur).where("kind <> 'added'")
-    lex = L.lexicon_of(table(spark, d, "benchmark")).select(F.col("word").alias("tok"))
-    hard = base.select("pair_id", F.col("at").alias("base_at"), F.explode(F.array_distinct(T.tokens(F.col("sent")))).alias("tok")).join(lex, "tok", "left_anti")
-    now = cur.select("pair_id", F.col("at").alias("cur_at"), F.array_distinct(T.tokens(F.col("sent"))).alias("have"))
-    j = hard.join(rows, ["pair_id", "base_at"]).join(now, ["pair_id", "cur_at"], "left")
-    return j.groupBy("pair_id").agg(
-        F.count_if(F.col("kind") == "lost").alias("removed_with_sentence"),
-        F.count_if((F.col("kind") == "match") & ~F.array_contains("have", F.col("tok"))).alias("removed_by_rewrite"),
-        F.count_if((F.col("kind") == "match") & F.array_contains("have", F.col("tok"))).alias("kept"),
-    )
+    return A.attribution(base, cur, L.lexicon_of(table(spark, d, "benchmark")))
 
 
 @query("ver_vector_coverage")
