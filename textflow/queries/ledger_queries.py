@@ -70,7 +70,6 @@ both("agg_median", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5),
 both("agg_systematic_sample", "WITH r AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM @part) SELECT p_partkey, p_name FROM r WHERE rn % 25 = 1")
 both("agg_debt", f"WITH {DEC} SELECT 'rework' AS what, count(*) AS n FROM dec WHERE kind = 'reject' UNION ALL SELECT 'quarantine', count(*) FROM @labels WHERE toxic = 1 UNION ALL SELECT 'source', count(*) FROM @documents WHERE n_chars < 50")
 both("acc_segment_inversions", "SELECT a.conv_id, a.turn, length(a.text) AS easy, length(b.text) AS hard FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE length(a.text) > length(b.text)")
-both("exp_cell_metrics", f"WITH {DEC} SELECT item % 2 AS f1, teacher % 2 AS f2, count(*) AS n, try_divide(count_if(kind = 'accept'), count(*)) AS coverage, sum(cost) AS cost FROM dec GROUP BY item % 2, teacher % 2")
 both("exp_factor_contrast", f"WITH {DEC}, c AS (SELECT item % 2 AS f1, teacher % 2 AS f2, count_if(kind = 'accept') / count(*) AS cov FROM dec GROUP BY item % 2, teacher % 2) SELECT avg(CASE WHEN f1 = 1 THEN cov END) - avg(CASE WHEN f1 = 0 THEN cov END) AS d1, avg(CASE WHEN f2 = 1 THEN cov END) - avg(CASE WHEN f2 = 0 THEN cov END) AS d2 FROM c")
 both("exp_truncation", "WITH t AS (SELECT conv_id, CASE WHEN length(text) > 40 THEN CASE WHEN text LIKE '%.' THEN 0 ELSE 1 END END AS cut FROM @conversations WHERE role = 'assistant') SELECT count(*) AS n, count(cut) AS known, try_divide(sum(cut), count(cut)) AS rate FROM t")
 both("exp_trace", f"WITH {DEC} SELECT kind, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event, count_if(item IS NULL) AS untraceable FROM dec GROUP BY kind")
