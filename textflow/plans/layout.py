@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -42,3 +43,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not top:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with its row number by ``order`` (from 1) as ``name``: a sort over ranges of rows, of which only the sizes are put together."""
+    path = scratch(df.sparkSession, "numbered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__range", F.shiftrightunsigned("__row", 33))
+    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).orderBy("__range").collect()  # a row for each range
+    before, shift = 0, [0] * (1 + max((r["__range"] for r in sizes), default=0))
+    for r in sizes:
+        shift[r["__range"]] = before - r["first"] + 1
+        before += r["n"]
+    table = F.from_json(F.lit(json.dumps(shift)), "array<bigint>")  # one literal in the plan
+    return rows.withColumn(name, F.col("__row") + table[F.col("__range").cast("int")]).drop("__row", "__range")

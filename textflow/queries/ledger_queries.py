@@ -12,7 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.layout import salted_collect
+from ..plans.layout import numbered, salted_collect
 from .base import query, shared, table
 
 _DUCK = (
@@ -67,7 +67,6 @@ both("agg_band_rates", "WITH b AS (SELECT p_brand, p_type, CASE WHEN p_size < 10
 both("agg_book_report", "SELECT source, count(*) AS chapters, sum(n_chars) AS chars, count_if(n_chars < 200) AS attention FROM @documents GROUP BY source")
 both("agg_ledger_summary", f"WITH {DEC} SELECT kind, count(*) AS n, count(DISTINCT teacher) AS teachers, max(ts) AS last_ts FROM dec GROUP BY kind")
 both("agg_median", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5), 2) AS median FROM @orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 2) AS median FROM @orders GROUP BY o_orderpriority")
-both("agg_systematic_sample", "WITH r AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM @part) SELECT p_partkey, p_name FROM r WHERE rn % 25 = 1")
 both("agg_debt", f"WITH {DEC} SELECT 'rework' AS what, count(*) AS n FROM dec WHERE kind = 'reject' UNION ALL SELECT 'quarantine', count(*) FROM @labels WHERE toxic = 1 UNION ALL SELECT 'source', count(*) FROM @documents WHERE n_chars < 50")
 both("acc_segment_inversions", "SELECT a.conv_id, a.turn, length(a.text) AS easy, length(b.text) AS hard FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE length(a.text) > length(b.text)")
 both("exp_factor_contrast", f"WITH {DEC}, c AS (SELECT item % 2 AS f1, teacher % 2 AS f2, count_if(kind = 'accept') / count(*) AS cov FROM dec GROUP BY item % 2, teacher % 2) SELECT avg(CASE WHEN f1 = 1 THEN cov END) - avg(CASE WHEN f1 = 0 THEN cov END) AS d1, avg(CASE WHEN f2 = 1 THEN cov END) - avg(CASE WHEN f2 = 0 THEN cov END) AS d2 FROM c")
@@ -80,7 +79,6 @@ both("win_first_success", f"WITH {DEC} SELECT teacher, min(ts) AS first_ts, min(
 
 # queues
 both("q_pending_facets", f"WITH {DEC}, {LATEST}, s AS (SELECT item, count(DISTINCT teacher) AS spread FROM dec GROUP BY item) SELECT l.item, l.kind = 'edit' AS star, s.spread >= 3 AS recur, s.spread = 1 AS single FROM latest l JOIN s ON s.item = l.item")
-both("q_pending_sorted", f"WITH {DEC}, s AS (SELECT item, count(DISTINCT teacher) AS spread, count(*) AS n FROM dec GROUP BY item) SELECT item, spread, n, row_number() OVER (ORDER BY spread DESC, n DESC, item) AS place FROM s")
 both("q_pending_merge", f"WITH {DEC}, u AS (SELECT item, 1 AS prio, kind FROM dec WHERE kind = 'edit' UNION ALL SELECT item, 2, kind FROM dec WHERE kind = 'accept' UNION ALL SELECT item, 3, kind FROM dec WHERE kind = 'reject') SELECT item, min(prio) AS prio, array_join(array_sort(collect_set(kind)), ',') AS reasons FROM u GROUP BY item")
 both("q_pending_progress", f"WITH {DEC} SELECT item % 20 AS chapter, count(DISTINCT item) AS items, count(DISTINCT CASE WHEN kind = 'accept' THEN item END) AS settled FROM dec GROUP BY item % 20")
 both("q_batch_preview", f"WITH {DEC} SELECT item, count(*) AS n, count(DISTINCT teacher) AS segments, count(DISTINCT to_date(ts)) AS chapters FROM dec GROUP BY item")
@@ -180,4 +178,33 @@ both("ver_segment_cosine", "SELECT a.vec_id AS base, b.vec_id AS cur, round(aggr
 
 # schedule: units are parts (brand = book, size = unit)
 both("voc_due_plan", "WITH h AS (SELECT user_id AS word, count(*) AS hits FROM @events GROUP BY user_id), t(hits, days) AS (VALUES (1, 1), (2, 3), (3, 7), (4, 14), (5, 30)) SELECT h.word, h.hits, t.days, CAST(ceil(t.days / 3.0) AS BIGINT) AS pieces FROM h JOIN t ON t.hits = least(h.hits, 5)")
-both("voc_weekly_due", "WITH h AS (SELECT user_id AS word, count(*) AS hits, max(ts) AS seen FROM @events GROUP BY user_id), t(hits, days) AS (VALUES (1, 1), (2, 3), (3, 7), (4, 14), (5, 30)) SELECT h.word, t.days, row_number() OVER (ORDER BY t.days, h.word) AS place FROM h JOIN t ON t.hits = least(h.hits, 5) WHERE t.days <= 7")
+
+
+# --- numbered rows, without a window over all of them
+
+
+@query("agg_systematic_sample", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM part) WHERE rn % 25 = 1")
+def agg_systematic_sample(spark, d):
+    """Every 25th part by name."""
+    return numbered(table(spark, d, "part").select("p_partkey", "p_name"), "rn", F.col("p_name"), F.col("p_partkey")).where("rn % 25 = 1").drop("rn")
+
+
+@query("q_pending_sorted", _duck(f"WITH {DEC}, s AS (SELECT item, count(DISTINCT teacher) AS spread, count(*) AS n FROM dec GROUP BY item) SELECT item, spread, n, row_number() OVER (ORDER BY spread DESC, n DESC, item) AS place FROM s").replace("@", ""))
+def q_pending_sorted(spark, d):
+    """Items by how many teachers decided on them, then by decisions."""
+    item = F.get_json_object("props", "$.k").cast("long").alias("item")
+    spread = table(spark, d, "events").select(item, "user_id").groupBy("item").agg(F.countDistinct("user_id").alias("spread"), F.count(F.lit(1)).alias("n"))
+    return numbered(spread, "place", F.desc("spread"), F.desc("n"), F.col("item"))
+
+
+_DUE = "h AS (SELECT user_id * 1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS word, count(*) AS hits, max(ts) AS seen FROM events GROUP BY ALL), t(hits, days) AS (VALUES (1, 1), (2, 3), (3, 7), (4, 14), (5, 30))"
+
+
+@query("voc_weekly_due", f"WITH {_DUE} SELECT h.word, t.days, CAST(seen AS DATE) + t.days AS due, row_number() OVER (ORDER BY t.days, h.word) AS place FROM h JOIN t ON t.hits = least(h.hits, 5) WHERE t.days <= 7")
+def voc_weekly_due(spark, d):
+    """Words (of a learner and an item) that fall due within a week, soonest first, with the day."""
+    word = (F.col("user_id") * 1000 + F.get_json_object("props", "$.k").cast("long")).alias("word")
+    hits = table(spark, d, "events").select(word, "ts").groupBy("word").agg(F.least(F.count(F.lit(1)), F.lit(5)).cast("int").alias("hits"), F.max("ts").alias("seen"))
+    days = F.element_at(F.array(*map(F.lit, (1, 3, 7, 14, 30))), F.col("hits"))
+    due = hits.withColumn("days", days).where("days <= 7").select("word", "days", F.date_add(F.to_date("seen"), F.col("days")).alias("due"))
+    return numbered(due, "place", F.col("days"), F.col("word"))
