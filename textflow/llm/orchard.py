@@ -103,7 +103,8 @@ def _sums(centroids: np.ndarray):
                 total[c] += x[at == c].sum(axis=0).astype(object)
             n += np.bincount(at, minlength=k)
         hit = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": hit.astype(np.int32), "n": n[hit], "sums": [[str(v) for v in total[c]] for c in hit]})
+        if len(hit):  # a task without vectors has no sums
+            yield pd.DataFrame({"cluster": hit.astype(np.int32), "n": n[hit], "sums": [[str(v) for v in total[c]] for c in hit]})
 
     return run
 
