@@ -35,3 +35,28 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert ann.search(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_near_copies_scaled_and_mostly_copied_rows(spark):
+    """Rows on which code distances alone tell little: tight bundles, one vector for most rows, scaled copies, huge and tiny values."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 8))
+    rows = [(i, centres[i % 4] + 1e-4 * rng.normal(size=8)) for i in range(2000)]
+    rows += [(3000 + i, np.ones(8)) for i in range(3000)]  # most rows share one vector
+    rows += [(7000 + i, (1 + i) * centres[0]) for i in range(120)] + [(8000 + i, 10.0 ** rng.integers(-18, 18) * rng.normal(size=8)) for i in range(400)]
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in ids[ids % 50 == 0]:
+        score, others = ann._exact(m[ids == q][0], m[ids != q]), ids[ids != q]
+        best = np.lexsort((others, -score))[:5]
+        assert got[q] == [(others[i], score[i]) for i in best]
+
+
+def test_squares_that_overflow(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]

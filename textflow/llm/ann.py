@@ -1,9 +1,12 @@
-"""Approximate nearest neighbours: an inverted file with product-quantised residuals.
-
-Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is
-indexed. A query visits its nearest lists, ranks their entries by asymmetric distance tables
-over the codes, and the best of each list block are ranked anew by the exact cosine of the
-original vectors. Lists are dealt out in salted blocks, so that no list is ever one task.
+"""Nearest neighbours: an inverted file with product-quantised residuals and an exact check behind it.
+
+Coarse centroids and residual codebooks are fitted on a bounded sample of distinct vectors; every
+vector is indexed. A query first visits its nearest lists, where asymmetric distances over the codes
+pick the entries that get an exact cosine; so it has found k others within some distance. Then it
+visits every list that may reach into that distance (by the list's radius) and leaves out entries
+whose code distance less their coding error is beyond it. So nothing nearer can be missed, however
+the vectors lie; on nearly isotropic ones few lists are left out. Lists are packed into cells of
+bounded size, and queries are dealt into parts, so that no list or query set is ever one task.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from . import common
 
 FIT_SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on, at most
 K = 5
-RERANK = 96  # entries of a block that get an exact distance for each query; an eighth of the block if that is more
 SUBSPACES, CODES = 16, 64
-BLOCK_ROWS = 8_192
+CELL_ROWS = 32_768  # entries of a cell, at most
+QUERY_ROWS = 16_384  # distinct queries of a part, about
+STEP = 1 << 21  # entries of a matrix of distances
+SLACK = 1e-6  # by which distances of unit vectors may be off
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -46,8 +51,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
 
 
 def fit(vectors: DataFrame, n: int) -> dict:
-    """Centroids and codebooks from at most ``FIT_SAMPLE`` vectors, scaled to unit length."""
-    take = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_SAMPLE).select("v").toPandas()
+    """Centroids and codebooks from at most ``FIT_SAMPLE`` distinct vectors, scaled to unit length; a vector that many rows share counts once."""
+    take = vectors.orderBy("key", F.col("ids")[0]).limit(FIT_SAMPLE).select("v").toPandas()
     x = np.array(take["v"].tolist(), dtype=np.float64)
     x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -63,80 +68,134 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _lists(x: np.ndarray, model: dict, probes: int) -> np.ndarray:
-    d = (model["coarse"] ** 2).sum(1) - 2 * x @ model["coarse"].T
-    return np.argsort(d, axis=1, kind="stable")[:, :probes]
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all of ``y``."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
 
 
-def _encode(x: np.ndarray, near: np.ndarray, model: dict) -> np.ndarray:
-    rest = x - model["coarse"][near]
+def _encode(rest: np.ndarray, model: dict) -> np.ndarray:
     parts = np.array_split(rest, len(model["books"]), axis=1)
     return np.stack([np.argmin((b**2).sum(1) - 2 * p @ b.T, axis=1) for p, b in zip(parts, model["books"])], axis=1).astype(np.uint8)
 
 
+def _decode(codes: np.ndarray, model: dict) -> np.ndarray:
+    return np.concatenate([b[codes[:, i]] for i, b in enumerate(model["books"])], axis=1)
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.array(v.tolist(), dtype=np.float64)
+
+
 def _index_rows(batches: Iterator[pd.DataFrame], model: dict) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            x = _unit(np.array(pdf["v"].tolist(), dtype=np.float64))
-            near = _lists(x, model, 1)[:, 0]
-            codes = _encode(x, near, model)
-            yield pd.DataFrame({"ids": pdf["ids"], "v": pdf["v"], "list": near, "codes": [c.tobytes() for c in codes]})
+            x = _unit(_matrix(pdf["v"]))
+            near = np.argmin(_far(x, model["coarse"]), axis=1)
+            rest = x - model["coarse"][near]
+            yield pd.DataFrame({"ids": pdf["ids"], "v": pdf["v"], "list": near, "codes": [c.tobytes() for c in _encode(rest, model)], "far": np.sqrt((rest**2).sum(1))})
 
 
 def _query_rows(batches: Iterator[pd.DataFrame], model: dict, probes: int) -> Iterator[pd.DataFrame]:
+    """A row for each cell that a query visits: the cells of its ``probes`` nearest lists, or of all lists that reach within ``limit``."""
     for pdf in batches:
-        if len(pdf):
-            near = _lists(_unit(np.array(pdf["v"].tolist(), dtype=np.float64)), model, probes)
-            yield pd.DataFrame({"key": pdf["key"].repeat(near.shape[1]).to_numpy(), "v": np.repeat(pdf["v"].to_numpy(), near.shape[1]), "list": near.ravel()})
+        for at in range(0, len(pdf), 1024):
+            part = pdf.iloc[at : at + 1024]
+            far = _far(_unit(_matrix(part["v"])), model["coarse"])
+            reach = np.partition(far, probes - 1, axis=1)[:, probes - 1] if probes else np.full(len(part), np.inf)
+            limit = part["limit"].to_numpy()
+            cells = np.zeros((len(part), model["cells"]), dtype=bool)
+            row, hit = np.nonzero(_open(far, reach, limit, model["radius"]))
+            cells[row, model["cell"][hit]] = True
+            for i in np.nonzero(model["parts"] > 1)[0]:  # a list of several cells
+                cells[:, model["cell"][i] : model["cell"][i] + model["parts"][i]] = cells[:, [model["cell"][i]]]
+            row, cell = np.nonzero(cells)
+            yield pd.DataFrame({"key": part["key"].to_numpy()[row], "v": part["v"].to_numpy()[row], "reach": reach[row], "limit": limit[row], "cell": cell, "part": part["part"].to_numpy()[row]})
+
+
+def _open(far: np.ndarray, reach: np.ndarray, limit: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which lists a query visits."""
+    return (radius >= 0) & (far <= reach[:, None] + SLACK) & (far - radius <= limit[:, None] + SLACK)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosine in double precision, the sums taken in component order."""
+    """Cosine in double precision, the sums taken in component order; vectors are scaled by powers of two, so that no square overflows."""
+    q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1]) for x in (q, v))
     dot = np.zeros(len(v))
     nq = nv = 0.0
     for j in range(v.shape[1]):
-        dot = dot + q[j] * v[:, j]
-        nq, nv = nq + q[j] * q[j], nv + v[:, j] * v[:, j]
+        dot = dot + q[..., j] * v[:, j]
+        nq, nv = nq + q[..., j] * q[..., j], nv + v[:, j] * v[:, j]
     return dot / (np.sqrt(nq) * np.sqrt(nv))
 
 
-def _search_block(model: dict, k: int):
+def _search_cell(shared, k: int):
     def run(key, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key": np.array([], dtype=np.int64), "ids": pd.Series([], dtype=object), "score": np.array([], dtype=float)})
+        model = shared.value
+        out = [pd.DataFrame({"key": np.array([], dtype=np.int64), "ids": pd.Series([], dtype=object), "score": np.array([], dtype=float)})]
         if not len(queries) or not len(index):
-            return empty
-        v = np.array(index["v"].tolist(), dtype=np.float64)
+            return out[0]
+        v = _matrix(index["v"])
+        x = _unit(v)
         codes = np.frombuffer(b"".join(index["codes"]), dtype=np.uint8).reshape(len(index), -1)
-        centre = model["coarse"][int(key[0])]
-        top = max(RERANK, len(index) // 8, k + 1)
+        lists, place = np.unique(index["list"].to_numpy(), return_inverse=True)
+        coded = model["coarse"][lists][place] + _decode(codes, model)
+        error = np.sqrt(((x - coded) ** 2).sum(1))
         ids = index["ids"].to_numpy()
         first = np.array([i[0] for i in ids], dtype=np.int64)
-        out_key, out_ids, out_score = [], [], []
-        for qkey, qv in zip(queries["key"], queries["v"]):
-            q = np.array(qv, dtype=np.float64)
-            u = _unit(q[None])[0] - centre
-            parts = np.array_split(u, len(model["books"]))
-            far = np.zeros(len(index))
-            for s, (p, b) in enumerate(zip(parts, model["books"])):
-                far += ((b - p) ** 2).sum(1)[codes[:, s]]
-            pick = np.argpartition(far, top - 1)[:top] if len(far) > top else np.arange(len(far))
-            score = _exact(q, v[pick])
-            best = np.lexsort((first[pick], -score))[: k + 1]
-            out_key += [qkey] * len(best)
-            out_ids += [ids[pick[i]] for i in best]
-            out_score += [score[i] for i in best]
-        return pd.DataFrame({"key": out_key, "ids": out_ids, "score": out_score})
+        qkey, qv, reach, limit = queries["key"].to_numpy(), _matrix(queries["v"]), queries["reach"].to_numpy(), queries["limit"].to_numpy()
+        step = max(1, STEP // len(index))
+        for at in range(0, len(queries), step):
+            q = qv[at : at + step]
+            u = _unit(q)
+            seen = _open(_far(u, model["coarse"][lists]), reach[at : at + step], limit[at : at + step], model["radius"][lists])[:, place]
+            far = _far(u, coded)
+            far[~seen] = np.inf
+            # k + 1 entries are surely within the (k + 1)-th smallest sum of code distance and coding error
+            near = limit[at : at + step]
+            if len(index) > k:
+                near = np.minimum(near, np.partition(far + error, k, axis=1)[:, k])
+            cos = u @ x.T
+            cos[~(seen & (far - error <= near[:, None] + SLACK))] = -np.inf
+            least = np.partition(cos, -(k + 1), axis=1)[:, -(k + 1)] if len(index) > k else np.full(len(q), -np.inf)
+            row, col = np.nonzero((cos >= least[:, None] - 1e-12) & (cos > -np.inf))
+            score = np.concatenate([np.zeros(0)] + [_exact(q[row[i : i + 65_536]], v[col[i : i + 65_536]]) for i in range(0, len(row), 65_536)])
+            order = np.lexsort((first[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) <= k
+            out.append(pd.DataFrame({"key": qkey[at + row[keep]], "ids": ids[col[keep]], "score": score[keep]}))
+        return pd.concat(out[1:])
 
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = 0.6) -> DataFrame:
+def _cells(coarse: np.ndarray, rows: np.ndarray, most: int) -> dict:
+    """The lists packed into cells of about ``most`` entries, near lists together; a larger list has several cells."""
+    cell, parts, at, free, order = np.zeros(len(rows), dtype=int), np.ones(len(rows), dtype=int), -1, 0, [0]
+    left = np.ones(len(rows), dtype=bool)
+    left[0] = False
+    while left.any():
+        d = ((coarse - coarse[order[-1]]) ** 2).sum(1)
+        d[~left] = np.inf
+        order.append(int(np.argmin(d)))
+        left[order[-1]] = False
+    for i in order:
+        if rows[i] > most:
+            parts[i] = -(-rows[i] // most)
+            cell[i], at, free = at + 1, at + parts[i], 0
+        else:
+            if rows[i] > free:
+                at, free = at + 1, most
+            cell[i], free = max(at, 0), free - rows[i]
+    return {"cell": cell, "parts": parts, "cells": int((cell + parts).max())}
+
+
+def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding. Equal vectors are one entry of the index that holds
     its k + 1 smallest ids, and equal queries are searched for once; so a vector that a third
-    of the rows share costs one entry. A query that finds fewer than k ids in the lists it
-    visits (few rows, or near-empty lists) is searched for in all lists.
+    of the rows share costs one entry. All k nearest are found: the visit of the nearest lists
+    only sets how far the second one has to look.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -149,30 +208,38 @@ def search(vectors: DataFrame, is_query, k: int = K, probe_share: float = 0.6) -
     salted = Window.partitionBy("key", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     few = rows.select("key", "v", "vec_id").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     distinct = few.groupBy("key", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    model = fit(rows, sizes["count"])
-    shared = spark.sparkContext.broadcast(model)
-    lists = len(model["coarse"])
-    index = distinct.select("ids", "v").mapInPandas(lambda it: _index_rows(it, shared.value), "ids array<long>, v array<double>, list int, codes binary")
+    distinct = common.materialize(distinct, "ivf-distinct")
+    entries = distinct.count()
+    fitted = fit(distinct, entries)
+    lists = len(fitted["coarse"])
+    coded = spark.sparkContext.broadcast(fitted)
+    index = distinct.select("ids", "v").mapInPandas(lambda it: _index_rows(it, coded.value), "ids array<long>, v array<double>, list int, codes binary, far double")
     index = common.materialize(index.withColumn("salt", F.xxhash64("ids")), "ivf")
-    # blocks of a list: as many as its rows need
-    blocks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each of 4096 lists at most
-    dealt = index.join(blocks, "list").withColumn("block", F.pmod("salt", F.col("blocks")).cast("int")).select("list", "block", "ids", "v", "codes")
+    count, radius = np.zeros(lists, dtype=int), np.full(lists, -1.0)
+    for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():  # a row for each of 4096 lists at most
+        count[r["list"]], radius[r["list"]] = r["n"], r["far"]
+    most = min(CELL_ROWS, max(2048, -(-entries // (2 * spark.sparkContext.defaultParallelism))))
+    model = fitted | {"radius": radius} | _cells(fitted["coarse"], count, most)
+    shared = spark.sparkContext.broadcast(model)
+    cells = F.broadcast(spark.createDataFrame([(i, int(model["cell"][i]), int(model["parts"][i])) for i in range(lists)], "list int, cell int, parts int"))
     asked = rows.where("q").select("key", "v").distinct()
+    parts = max(1, -(-asked.count() // QUERY_ROWS))
+    asked = asked.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    dealt = index.join(cells, "list").withColumn("cell", (F.col("cell") + F.pmod("salt", F.col("parts"))).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("cell", "part", "list", "ids", "v", "codes")
 
     def found(queries: DataFrame, probes: int) -> DataFrame:
-        visits = queries.mapInPandas(lambda it: _query_rows(it, shared.value, probes), "key long, v array<double>, list int")
-        visits = visits.join(blocks, "list").select("key", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        hits = visits.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInPandas(_search_block(model, k), "key long, ids array<long>, score double")
+        """Ids within the k + 1 best entries of each query, of its nearest lists or (probes 0) of all lists within its limit."""
+        visits = queries.select("key", "v", "limit", "part").mapInPandas(lambda it: _query_rows(it, shared.value, probes), "key long, v array<double>, reach double, limit double, cell int, part int")
+        hits = visits.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(_search_cell(shared, k), "key long, ids array<long>, score double")
         best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
         return hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("key", "score", F.explode("ids").alias("vec_id"))
 
-    probes = max(1, math.ceil(lists * probe_share))
-    hits = common.materialize(found(asked, probes), "ivf-hits")
-    if probes < lists:
-        enough = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
-        short = asked.join(enough, "key", "left_anti")
-        hits = hits.join(enough, "key", "left_semi").unionByName(found(short, lists))
+    far = found(asked.withColumn("limit", F.lit(float("inf"))), max(1, math.isqrt(lists)))
+    last = F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k + 1))  # the (k + 1)-th, so k others
+    limits = far.groupBy("key").agg(F.when(last.isNotNull(), F.sqrt(F.greatest(2 - 2 * last, F.lit(0.0)))).alias("limit"))
+    limits = asked.join(limits, "key", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    hits = found(common.materialize(limits, "ivf-limits"), 0)
     # at most (k + 1) * (k + 1) ids a key; each query row of the key drops its own
     queries = rows.where("q").select("key", F.col("vec_id").alias("query_id"))
     packed = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
