@@ -83,3 +83,17 @@ def test_annotations(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0, 9.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in df.select(T.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
+
+
+def test_word_bounds_are_ascii(spark):
+    """A marker before a letter beyond ASCII counts, as in the SQL (RE2) and the source system."""
+    rows = spark.createDataFrame([("not noñdoo, gêne no",)], "base string")
+    assert rows.select(F.regexp_count("base", T.ascii_bounds(r"\b(?:not|no|never|nicht|pas|ne)\b"))).first()[0] == 4
+
+
+def test_marker_loss_on_other_letters(spark, tmp_path):
+    from textflow.queries import QUERIES
+
+    rows = [(1, 0, "user", "no noñdoo gêne not"), (1, 1, "assistant", "no")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in QUERIES["fid_marker_loss"](spark, str(tmp_path)).collect()] == [(1, 0, 4, 1, True)]

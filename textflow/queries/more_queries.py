@@ -53,7 +53,7 @@ def gate_sentence_edit(spark, d):
 @query("ver_plot_weight", rf"""WITH {SEG}, m AS (SELECT doc_id, seg_idx, len(regexp_extract_all(body, '"[^"]+"')) AS anchors, len(regexp_extract_all(body, '[a-z,] [A-Z][a-z]+')) AS names, len(regexp_extract_all(body, '\d+')) AS numbers, len(regexp_extract_all(lower(body), '\b(?:because|so|but|then)\b')) AS causal, (seg_idx = 1)::INT AS edge FROM seg WHERE lang = 'en'), w AS (SELECT doc_id, seg_idx, least(1.0, (3 * anchors + 1.2 * names + numbers + 0.8 * causal + 0.6 * edge) / 7.2) AS w FROM m) SELECT doc_id, seg_idx, round(w, 6) AS weight, CASE WHEN round(w, 6) >= 0.55 THEN 'high' WHEN round(w, 6) >= 0.25 THEN 'mid' ELSE 'low' END AS level FROM w""")
 def ver_plot_weight(spark, d):
     c = lambda p, col="body": F.regexp_count(col, F.lit(p))
-    raw = 3 * c('"[^"]+"') + 1.2 * c("[a-z,] [A-Z][a-z]+") + c(r"\d+") + 0.8 * F.regexp_count(F.lower("body"), F.lit(r"\b(?:because|so|but|then)\b")) + 0.6 * (F.col("seg_idx") == 1).cast("int")
+    raw = 3 * c('"[^"]+"') + 1.2 * c("[a-z,] [A-Z][a-z]+") + c(r"\d+") + 0.8 * F.regexp_count(F.lower("body"), T.ascii_bounds(r"\b(?:because|so|but|then)\b")) + 0.6 * (F.col("seg_idx") == 1).cast("int")
     w = F.round(F.least(F.lit(1.0), raw / 7.2), 6)
     return S.segments(_docs(spark, d).where("lang = 'en'")).select("doc_id", "seg_idx", w.alias("weight"), F.when(w >= 0.55, "high").when(w >= 0.25, "mid").otherwise("low").alias("level"))
 
