@@ -43,3 +43,15 @@ def test_same_as_sql(spark, duck, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() > 0
+
+
+def test_fuzzy_names_of_common_and_lonely_names(spark, tmp_path):
+    """Names that many rows bear, names two edits from all others, short and empty ones; against the SQL."""
+    names = ["abcdefgh"] * 5 + ["abcdefgX", "aXcdefXh", "qrstuvw", "qrstXvX", "qrstYvY", "abc", "abX", "aXY", "", "x", "yz", None, "lonely name", "nm 0001", "nm 0002", "nm 0013", "nm 0123"]
+    names += [f"row {i:04}" for i in range(60)] * 2
+    rows = [(i, n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["sim_fuzzy_names"](spark, str(tmp_path)).select("a", "b", "dist", "place").collect())
+    assert got == sorted(c.sql(ORACLES["sim_fuzzy_names"]).fetchall())
