@@ -107,3 +107,17 @@ def test_rollbacks(spark):
         got[r.doc_id].append(r.version)
     assert got == {d: held(nodes) for d, nodes in chains.items()}
     assert got["named"] == ["A"] and got["unknown"] == ["A", "B"] and got["gone"] == ["A", "C"] and got["last"] == ["C"]
+
+
+def test_marks_set_earlier_take_their_places(spark, docs):
+    """Earlier marks named by their anchors take the same places as the same marks given as rows."""
+    events = [
+        (1, 10, "b", "word", "mill", "simpl", "add"), (2, 20, "b", "word", "river", "oov", "add"), (3, 6, "b", "phrase", "mill stood", "simpl", "add"),
+        (4, 7, "b", "word", "stood", "keep", "add"), (5, 8, "b", "word", "by", "hard", "add"),
+    ]
+    ledger = spark.createDataFrame(events, LEDGER)
+    earlier = spark.createDataFrame([("b", "word", "river", "oov"), ("b", "word", "mill", "keep"), ("b", "phrase", "mill stood by", "simpl")], "book string, level string, anchor string, type string")
+    told = R.replay(docs, ledger, R.spots(docs, earlier, "book"), "book")[0]
+    got = R.replay(docs, ledger, None, "book", earlier=earlier)[0]
+    assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, told.select(*got.columns).collect()))
+    assert {r.id for r in got.collect()} & {1, 2} == {1}

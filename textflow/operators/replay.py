@@ -1,9 +1,11 @@
 """Replay of a ledger of marks on the present texts: words, phrases and sentences are located anew.
 
 Marks are kept by their wording, since places move whenever a text is edited. A word is found
-by an equi-join with the tokens. A phrase is found by its rarest word (the first one, or one
-that stands inside, so that all of it is in the text) and then compared as a whole; a sentence
-by its first characters, joined for each length that occurs. No text is compared with all anchors.
+by an equi-join with the tokens. A phrase is found by one word (the first one, or one that stands
+inside, so that all of it is in the text; the one that fewest phrases share) and then compared as
+a whole; a sentence by its first characters, joined for each length that occurs. No text is
+compared with all anchors. Anchors are few beside the words, so they go to the words where their
+number allows it, and the texts stay where they are.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.layout import scratch, small_side
 
 PREFIX = 24  # characters by which a sentence is known
 #: types that ask for a word to go: where it is gone they are settled
@@ -23,18 +26,23 @@ PLACE = ("doc_id", "seg_idx", "sent_idx")
 
 def sentence_rows(docs: DataFrame, *scope: str) -> DataFrame:
     """doc_id, the scope's columns, seg_idx, sent_idx, sent (lower case), and its words as they stand (``raw``) and as tokens (``tok``)."""
-    segs = docs.select("doc_id", *scope, F.posexplode(T.segments(F.col("text"))).alias("seg_idx", "body"))
-    rows = segs.select("doc_id", *scope, (F.col("seg_idx") + 1).alias("seg_idx"), F.posexplode(T.sentences(F.col("body"))).alias("sent_idx", "sent"))
+    segs = docs.select("doc_id", *scope, F.posexplode_outer(T.segments(F.col("text"))).alias("seg_idx", "body")).where("seg_idx IS NOT NULL")
+    rows = segs.select("doc_id", *scope, (F.col("seg_idx") + 1).alias("seg_idx"), F.posexplode_outer(T.sentences(F.col("body"))).alias("sent_idx", "sent")).where("sent_idx IS NOT NULL")
     raw = F.regexp_extract_all(F.lower("sent"), F.lit("[a-z][a-z'-]*"), F.lit(0))
     rows = rows.withColumn("sent_idx", F.col("sent_idx") + 1).withColumn("sent", F.lower("sent")).withColumn("raw", raw)
     return rows.withColumn("tok", F.transform("raw", T.clean_token))
 
 
+def word_rows(rows: DataFrame, *scope: str) -> DataFrame:
+    """Scope, place, ``word_idx`` (from 1), and the word as it stands (``raw``) and as a token (``tok``)."""
+    pair = F.posexplode(F.arrays_zip("raw", "tok")).alias("word_idx", "w")
+    return rows.select(*scope, *PLACE, pair).select(*scope, *PLACE, (F.col("word_idx") + 1).alias("word_idx"), "w.raw", "w.tok")
+
+
 def locate_words(rows: DataFrame, anchors: DataFrame, *scope: str) -> DataFrame:
     """Scope, anchor and place (with ``word_idx``, from 1) of every word that is the anchor as it stands or as a token."""
-    pair = F.posexplode(F.arrays_zip("raw", "tok")).alias("word_idx", "w")
-    words = rows.select(*scope, *PLACE, pair).select(*scope, *PLACE, (F.col("word_idx") + 1).alias("word_idx"), F.explode(F.array_distinct(F.array("w.raw", "w.tok"))).alias("anchor"))
-    return words.join(anchors.select(*scope, "anchor").where("anchor <> ''").distinct(), [*scope, "anchor"])
+    words = word_rows(rows, *scope).select(*scope, *PLACE, "word_idx", F.explode(F.array_distinct(F.array("raw", "tok"))).alias("anchor"))
+    return words.join(small_side(anchors.select(*scope, "anchor").where("anchor <> ''").distinct()), [*scope, "anchor"])
 
 
 def locate_phrases(rows: DataFrame, anchors: DataFrame, *scope: str) -> DataFrame:
@@ -43,12 +51,11 @@ def locate_phrases(rows: DataFrame, anchors: DataFrame, *scope: str) -> DataFram
     asked = anchors.select(*scope, "anchor").distinct().withColumn("words", words).where(F.size("words") > 0)
     inner = F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0)))  # the last word may go on in the text
     keys = asked.select(*scope, "anchor", F.explode(F.array_distinct(F.concat(F.slice("words", 1, 1), inner))).alias("key"))
-    held = rows.select(*scope, *PLACE, F.explode(F.array_distinct(F.concat("raw", "tok"))).alias("key")).join(keys.select(*scope, "key").distinct(), [*scope, "key"], "left_semi")
-    often = held.groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("n"))
-    counted = keys.join(often, [*scope, "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy(*scope, "anchor").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
-    near = held.join(rarest, [*scope, "key"]).select("anchor", *PLACE)
-    found = near.join(rows, list(PLACE)).where(F.contains("sent", "anchor"))
+    shared = keys.groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("n"))
+    fewest = keys.join(shared, [*scope, "key"]).groupBy(*scope, "anchor").agg(F.min_by("key", F.struct("n", -F.length("key"), "key")).alias("key"))
+    held = rows.select(*scope, *PLACE, "sent", F.explode(F.array_distinct(F.concat("raw", "tok"))).alias("key"))
+    found = held.join(small_side(fewest), [*scope, "key"]).where(F.contains("sent", "anchor")).drop("key")
+    found = found.withColumn("raw", F.regexp_extract_all("sent", F.lit("[a-z][a-z'-]*"), F.lit(0))).withColumn("tok", F.transform("raw", T.clean_token))
     first = F.regexp_extract("anchor", "[a-z][a-z'-]*", 0)
     at = F.filter(F.sequence(F.lit(1), F.size("raw")), lambda i: (F.element_at("raw", i) == first) | (F.element_at("tok", i) == first))
     return found.select(*scope, "anchor", *PLACE, F.explode(at).alias("word_idx"))
@@ -59,7 +66,7 @@ def locate_sentences(rows: DataFrame, anchors: DataFrame, *scope: str) -> DataFr
     asked = anchors.select(*scope, "anchor").where("anchor <> ''").distinct().withColumn("prefix", F.substring("anchor", 1, PREFIX)).withColumn("n", F.length("prefix"))
     lengths = F.broadcast(asked.select("n").distinct())  # PREFIX rows at most
     heads = rows.join(lengths, F.length("sent") >= F.col("n")).select(*scope, *PLACE, "n", F.expr("substring(sent, 1, n)").alias("prefix"))
-    return heads.join(asked, [*scope, "n", "prefix"]).select(*scope, "anchor", *PLACE, F.lit(1).alias("word_idx"))
+    return heads.join(small_side(asked), [*scope, "n", "prefix"]).select(*scope, "anchor", *PLACE, F.lit(1).alias("word_idx"))
 
 
 def live(events: DataFrame, *scope: str) -> DataFrame:
@@ -69,31 +76,63 @@ def live(events: DataFrame, *scope: str) -> DataFrame:
     return last.select(*scope, "level", "anchor", "x.*").where("action <> 'remove'").drop("action")
 
 
-def spots(docs: DataFrame, events: DataFrame, *scope: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: a row for each anchor, asked for several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spots(docs: DataFrame, events: DataFrame, *scope: str, levels: tuple[str, ...] = ("word", "phrase", "sent")) -> DataFrame:
     """Every place that each event's anchor has now: the event's columns and the place."""
     rows = sentence_rows(docs, *scope)
     of = {"word": locate_words, "phrase": locate_phrases, "sent": locate_sentences}
-    found = [f(rows, events.where(F.col("level") == level), *scope).withColumn("level", F.lit(level)).select(*scope, "level", "anchor", *PLACE, "word_idx") for level, f in of.items()]
-    return events.join(reduce(DataFrame.unionByName, found), [*scope, "level", "anchor"])
-
-
-def replay(docs: DataFrame, events: DataFrame, existing: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
+    found = [of[level](rows, events.where(F.col("level") == level), *scope).withColumn("level", F.lit(level)).select(*scope, "level", "anchor", *PLACE, "word_idx") for level in levels]
+    return small_side(events).join(reduce(DataFrame.unionByName, found), [*scope, "level", "anchor"])
+
+
+def _word_marks(docs: DataFrame, now: DataFrame, earlier: DataFrame, *scope: str) -> DataFrame:
+    """The new marks of words. All that may stand at a place are its word and its token, so each place is settled where it is read."""
+    live_ = now.where("level = 'word'").select(*scope, "anchor", F.struct("ts", "id", "anchor", "type").alias("mark"))
+    types = earlier.where("level = 'word'").groupBy(*scope, "anchor").agg(F.collect_set("type").alias("types"))
+    known = small_side(live_.join(types, [*scope, "anchor"], "full"))
+    words = word_rows(sentence_rows(docs, *scope), *scope)
+    for w in ("raw", "tok"):
+        words = words.join(known.select(*scope, F.col("anchor").alias(w), F.col("mark").alias(f"{w}_mark"), F.col("types").alias(f"{w}_types")), [*scope, w], "left")
+    words = words.where("raw_mark IS NOT NULL OR tok_mark IS NOT NULL")
+    none = F.array().cast("array<string>")
+    taken = F.concat(F.coalesce("raw_types", none), F.coalesce("tok_types", none))
+    free = F.array_sort(F.filter(F.array("raw_mark", "tok_mark"), lambda m: m.isNotNull()))  # by ts, then id
+    words = words.select(*PLACE, "word_idx", taken.alias("taken"), free.alias("free"))
+    # two marks of one type: the earlier one
+    first = F.filter("free", lambda m, i: ~F.array_contains("taken", m["type"]) & ((i == 0) | (m["type"] != F.element_at("free", 1)["type"])))
+    return words.select(*PLACE, "word_idx", F.explode(first).alias("m")).select("m.id", "m.anchor", F.lit("word").alias("level"), "m.type", *PLACE, "word_idx")
+
+
+def replay(docs: DataFrame, events: DataFrame, existing: DataFrame | None, *scope: str, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new marks, live events that have no place any more with a verdict).
 
     ``docs``: doc_id, text and the scope's columns. ``events``: id, ts, level (word, phrase,
     sent), anchor, type, action, and the scope. ``existing``: the marks that are there, as
-    level, type and place (``word_idx`` 1 for sentences). A place takes one mark of a level and
+    level, type and place (``word_idx`` 1 for sentences), or else ``earlier``: the marks whose
+    places are taken, as scope, level, anchor and type. A place takes one mark of a level and
     type: an existing one, else that of the earliest event; so a second replay adds nothing.
     Anchors are compared in lower case and trimmed; events without an anchor have no place.
     """
     events = events.withColumn("anchor", F.lower(F.trim("anchor")))
-    now = live(events.where("anchor <> ''"), *scope)
-    found = spots(docs, now, *scope)
+    now = kept(live(events.where("anchor <> ''"), *scope), "live")
     key = ["level", "type", *PLACE, "word_idx"]
-    fresh = found.join(existing.select(*key).distinct(), key, "left_anti")
+    levels = ("word", "phrase", "sent")
+    if earlier is not None:
+        levels, earlier = levels[1:], kept(earlier, "earlier")
+        existing = spots(docs, earlier, *scope, levels=levels)
+    fresh = spots(docs, now, *scope, levels=levels).join(existing.select(*key).distinct(), key, "left_anti")
     first = fresh.groupBy(*key).agg(F.min_by(F.struct("id", "anchor"), F.struct("ts", "id")).alias("x"))
-    marks = first.select(F.concat_ws(":", F.lit("cal"), "x.id", *PLACE, "word_idx").alias("mark_id"), "x.id", "x.anchor", *key)
-    gone = now.join(found.select("id").distinct(), "id", "left_anti")
+    marks = first.select("x.id", "x.anchor", *key)
+    if earlier is not None:
+        marks = marks.unionByName(_word_marks(docs, now, earlier, *scope))
+    marks = marks.select(F.concat_ws(":", F.lit("cal"), "id", *PLACE, "word_idx").alias("mark_id"), "id", "anchor", *key)
+    gone = now.join(spots(docs, now, *scope).select("id").distinct(), "id", "left_anti")
     settled = F.col("type").isin(*SETTLED_WHEN_GONE)
     return marks, gone.select(*scope, "id", "level", "anchor", "type", F.when(settled, "done").otherwise("check").alias("verdict"))
 

@@ -63,14 +63,14 @@ existing AS (SELECT DISTINCT e.level, e.type, doc_id, seg_idx, sent_idx, word_id
 def txt_locate_spots(spark, d):
     """Every place of every anchor of the ledger, words, phrases and sentence beginnings, in the documents of its book."""
     anchors = ledger(spark, d).where("anchor <> ''").select("source", "level", "anchor").distinct()
-    return R.spots(_docs(spark, d), anchors, "source")
+    return R.spots(_docs(spark, d), R.kept(anchors, "anchors"), "source")
 
 
 def _replayed(spark, d):
     events, docs = ledger(spark, d), _docs(spark, d)
     half = table(spark, d, "events").agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half"))
     before = events.crossJoin(half).where((F.col("ts") < F.col("half")) & (F.col("action") == "add")).drop("half")
-    return R.replay(docs, events, R.spots(docs, before.where("anchor <> ''").select("source", "level", "anchor", "type").distinct(), "source"), "source")
+    return R.replay(docs, events, None, "source", earlier=before.where("anchor <> ''").select("source", "level", "anchor", "type").distinct())
 
 
 @query(
