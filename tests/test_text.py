@@ -97,3 +97,13 @@ def test_marker_loss_on_other_letters(spark, tmp_path):
     rows = [(1, 0, "user", "no noñdoo gêne not"), (1, 1, "assistant", "no")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in QUERIES["fid_marker_loss"](spark, str(tmp_path)).collect()] == [(1, 0, 4, 1, True)]
+
+
+def test_arrays_are_worked_out_once(spark):
+    """Exploding segments, sentences and tokens puts no filter on the arrays' sizes behind them; empty and null texts give no rows."""
+    from textflow.operators import structure as S
+
+    docs = spark.createDataFrame([(1, "en", "A cat's paw. Well-known 'tis dogs'-\n \nIt ran."), (2, "en", ""), (3, "en", None), (4, "en", "1 2")], "doc_id long, lang string, text string")
+    toks = S.tokens(S.sentences(docs))
+    assert "size(" not in toks._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.tok for r in toks.orderBy("seg_idx", "sent_idx", "tok_idx").collect()] == ["a", "cat", "paw", "well", "known", "tis", "dogs", "it", "ran"]
