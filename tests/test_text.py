@@ -107,3 +107,36 @@ def test_arrays_are_worked_out_once(spark):
     toks = S.tokens(S.sentences(docs))
     assert "size(" not in toks._jdf.queryExecution().optimizedPlan().toString()
     assert [r.tok for r in toks.orderBy("seg_idx", "sent_idx", "tok_idx").collect()] == ["a", "cat", "paw", "well", "known", "tis", "dogs", "it", "ran"]
+
+
+def test_clause_before_a_gloss(spark, tmp_path):
+    """Clauses longer than 60 characters, without a gloss behind them, and with one nested or empty: as a bounded run finds them; a long one without end is read once."""
+    import re
+    import time
+
+    from textflow.queries import QUERIES
+
+    texts = ["x" * 5 + " " + "ab " * 40 + "considerable now", "one, considerable; two considerable（three）（four）", "（abc considerable（x））é considerables", "а" * 70 + " considerable", "no gloss", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = {tuple(r) for r in QUERIES["ann_phrase_types"](spark, f"{tmp_path}/a").collect()}
+    noted = [re.sub("([A-Za-z]{4})([a-z]{5,})", r"\1\2（\1）", t) for t in texts]
+    clauses = [(i, c) for i, t in enumerate(noted) for c in re.findall("([^,.;:!?（）]{1,60})（[^（）]{1,24}）", t)]
+    assert got == {(i, w.lower()) for i, c in clauses for w in re.findall("[A-Za-z]+", c)} and len(clauses) >= 6
+    spark.createDataFrame([(1, "ab " * 5_000_000)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/b/documents.parquet")
+    began = time.time()
+    assert QUERIES["ann_phrase_types"](spark, f"{tmp_path}/b").collect() == [] and time.time() - began < 20
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    """A file of one row group is cut into many pieces, of which one holds all rows."""
+    from textflow.plans.layout import spread
+
+    spark.range(0, 4000, 1, 1).selectExpr("id", "sha2(string(id), 512) AS text").write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        t = spark.read.parquet(f"{tmp_path}/t")
+        assert t.rdd.getNumPartitions() > 4 and t.groupBy(F.spark_partition_id()).count().count() == 1
+        assert spread(t).groupBy(F.spark_partition_id()).count().count() >= 4
+        assert spread(t.where("id < 0")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
