@@ -26,10 +26,8 @@ def document_qc(docs: DataFrame, lexicon: DataFrame, max_len: int = 20) -> DataF
     )
     # counts by document and type first: the join with the resolved types then sees each pair once
     pairs = S.tokens(sents.select("doc_id", "sent")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n"))
-    types = pairs.select("tok").distinct()
-    known = L.resolve(types, lexicon).join(L.pending_types(types, lexicon).withColumn("pend", F.lit(True)), "tok", "left")
-    oov = F.col("base").isNull() & (F.length("tok") > 1)
-    by_tok = pairs.join(known, "tok").groupBy("doc_id").agg(
+    oov, pending = F.col("oov"), L.pending_forms(lexicon).withColumn("pend", F.lit(True))
+    by_tok = L.mark(pairs, lexicon).join(pending, "tok", "left").groupBy("doc_id").agg(
         F.sum("n").alias("tokens"),
         (1 - F.sum(F.when(oov, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"),
         (F.count_if(oov) / F.count(F.lit(1))).alias("new_word_rate"),
