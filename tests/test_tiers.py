@@ -46,3 +46,10 @@ def test_verdicts(spark, folder):
 def test_rewrite(spark, folder):
     rows = {r.turn: tuple(r)[2:] for r in QUERIES["gate_rewrite"](spark, folder).collect()}
     assert rows == {0: (1, 2, 0), 1: (1, 2, 1)}  # blork is new at first; then grond beside blork, and xylophones is explained already
+
+
+def test_texts_are_read_few_times(spark, folder):
+    """Counts of a segment come from one reading, its unnoted words and notes from one each; the report's suspects take two more."""
+    for name, most in (("acc_cross_tier_summary", 3), ("acc_chapter_verdict", 3), ("acc_tier_report", 5)):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation [doc_id" in line for line in plan.splitlines()) <= most
