@@ -130,3 +130,21 @@ def test_vector_coverage_like_plain_code(spark):
     schema = "pair_id long, at int, v array<double>"
     got = {r.pair_id: (r.units, r.covered, r.score) for r in A.vector_coverage(spark.createDataFrame(rows, schema), spark.createDataFrame(near, schema)).collect()}
     assert got[1][:2] == (6, 5) and got[2][:2] == (6, 5) and got[3] == (6, 0, 0.0)
+
+
+def test_many_pairs_in_one_task(spark):
+    """Pairs come to Python many at once; some have one side only, one has no id; sentences come in any order."""
+    frame = lambda xs: spark.createDataFrame(xs, "pair_id long, at int, sent string")
+    base = [(i, k, f"Old word{i} number {k} stays here.") for i in range(700) for k in (1, 0) if i % 7] + [(None, 0, "Alone here.")]
+    cur = [(i, 0, f"Old word{i} number 0 stays here.") for i in range(700) if i % 5] + [(None, 0, "Alone here.")]
+    got = A.align(frame(base).coalesce(1), frame(cur).coalesce(1))
+    assert "CoGroup" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for i in range(700):
+        if i % 7 and i % 5:
+            want |= {(i, "match", 0, 0), (i, "lost", 1, None)}
+        elif i % 7:
+            want |= {(i, "lost", 0, None), (i, "lost", 1, None)}
+        elif i % 5:
+            want.add((i, "added", None, 0))
+    assert {(r.pair_id, r.kind, r.base_at, r.cur_at) for r in got.collect()} == want | {(None, "match", 0, 0)}
