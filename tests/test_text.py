@@ -140,3 +140,24 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
         assert spread(t.where("id < 0")).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_concordance_groups_tokens_where_they_are(spark, tmp_path):
+    """Tokens are neither sorted nor shuffled; two forms of a base in a sentence are one row, ids that are null or occur twice one text."""
+    from textflow.queries import QUERIES
+
+    docs = [(1, "Wolves saw a wolf. The wolf's paw, Zyx zyx."), (1, "A wolf ran home - zyx >—\t it.\n\nAgain wolves"), (None, "wolf"), (2, None), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "wolf the a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path))
+    rows = {(r.base, r.doc_id, r.seg_idx, r.sent_idx): (r.tok_idx, r.surface, r.unmerged) for r in run("con_build").collect()}
+    assert rows["wolf", 1, 1, 1] == (1, "wolves", False) and rows["a", 1, 1, 1] == (1, "a", False)
+    assert rows["wolf", 1, 1, 2] == (2, "wolf", False) and rows["zyx", 1, 1, 2] == (4, "zyx", True) and rows["wolf", None, 1, 1] == (1, "wolf", False)
+    assert rows["wolf", 1, 2, 1] == (2, "wolves", False) and rows["it", 1, 1, 1] == (6, "it", True) and len(rows) == 14
+    assert {(r.base, r.doc_id, r.n) for r in run("con_word_matrix").collect()} == {("wolf", 1, 3), ("a", 1, 1), ("the", 1, 1), ("wolf", None, 1)}
+    entry = {r.base: (r.total, r.chapters) for r in run("con_word_entry").collect()}
+    assert entry["wolf"] == (4, 1) and entry["zyx"] == (2, 1)
+    for name in ("con_build", "con_word_matrix"):
+        plan = run(name)._jdf.queryExecution().executedPlan().toString()
+        of_tokens = [line for line in plan.split("\n") if "seg_idx" in line]
+        assert of_tokens and not [line for line in of_tokens if "SortAggregate" in line or "Exchange hashpartitioning(base" in line]
