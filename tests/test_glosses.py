@@ -101,6 +101,18 @@ def test_actions(spark, body, action, word, gloss, want, status):
     assert [tuple(r) for r in G.apply_actions(segs, asked).collect()] == [(1, 1, want or body, status)]
 
 
+def test_actions_keep_a_segment_in_one_row(spark):
+    """Forms that are shorter or longer than the word, marked words, and no rows of tokens on the way."""
+    bodies = ["Stories（一） story's STORY storm（二）", "stop, stopped（一） stopping（二）", "a（一） b", "don't-（一） dont 'tis", "'", ""]
+    segs = spark.createDataFrame([(1, i, b) for i, b in enumerate(bodies)], SEGS)
+    asked = spark.createDataFrame([(1, 0, "strip", "story", None), (1, 1, "dedupe", "stopped", None), (1, 2, "sense", "a", "三"), (1, 3, "insert", "don't", "x"), (1, 4, "strip", "'", "x"), (1, 5, "strip", "a", "x")], "doc_id long, seg_idx int, action string, word string, gloss string")
+    out = G.apply_actions(segs, asked)
+    assert "generate" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("generated", "")
+    assert sorted((r.seg_idx, r.body, r.status) for r in out.collect()) == [
+        (0, "Stories story's STORY storm（二）", "ok"), (1, "stop, stopped（一） stopping（二）", "no-op"), (2, "a（三） b", "ok"), (3, bodies[3], "no-op"), (4, "'", "not-found"),
+    ]
+
+
 def test_issues(spark):
     segs = spark.createDataFrame([(1, 1, "mill（一"), (1, 2, "mill（一） barn（仓（x））"), (1, 3, "Mill（二）"), (2, 1, "fine（好）")], SEGS)
     assert sorted(map(tuple, G.issues(segs).collect())) == [(1, 1, "unclosed", "1/0"), (1, 2, "nested", "mill（一） barn（仓）"), (1, 2, "sense-conflict", "mill: 一 / 二")]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import anchors as P
 from ..operators import glosses as G
 from ..operators import structure as S
-from .base import query
+from ..plans.layout import by_key
+from .base import query, table
 from .text_queries import _docs, _en
 from .text_sql import FORMS, SEG
 
@@ -112,6 +113,10 @@ UNION ALL SELECT doc_id, seg_idx, f.body, CASE WHEN f.body <> f.before THEN 'ok'
 UNION ALL SELECT doc_id, seg_idx, body[:strpos(body, body[3:7]) - 1] || '[back]' || body[strpos(body, body[3:7]) + length(body[3:7]):], 'ok' FROM ac WHERE action = 'revert'""",
 )
 def txt_apply_actions(spark, d):
-    """Every segment of English documents after its action, and what came of it."""
-    segs = _segments(spark, d)
+    """Every segment of English documents after its action, and what came of it.
+
+    Documents are dealt out by their ids before they are cut up, so that segments meet their actions where they are.
+    """
+    docs = by_key(table(spark, d, "documents").select("doc_id", "lang", "text").where("lang = 'en'"), "doc_id", "text")
+    segs = S.segments(docs).select("doc_id", "seg_idx", deep(F.col("body")).alias("body"))
     return G.apply_actions(segs, _actions(segs))
