@@ -110,3 +110,38 @@ def test_counts_are_put_out_in_parts(monkeypatch):
 def test_registered_query(spark):
     got = C.QUERIES["op11_collocations"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and got.count() > 0
+
+
+@pytest.mark.parametrize("bits", [63, 12, 5])
+def test_words_in_one_number_or_several(spark, monkeypatch, bits):
+    """Phrases whose ids fill one, two and four numbers."""
+    monkeypatch.setattr(C, "KEY_BITS", bits)
+    rows = texts(random.Random(6))
+    assert [len(C._names(n, C._width(60))) for n in (2, 3, 4)] == {63: [1, 1, 1], 12: [1, 2, 2], 5: [2, 3, 4]}[bits]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    assert sorted(tuple(r) for r in C.mine(docs, min_count=5, top=25).collect()) == brute(rows, 5, 25)
+
+
+def test_a_full_map_only_costs_rows(spark, monkeypatch):
+    """With 64 bits nearly all are set by chance."""
+    monkeypatch.setattr(C, "BITS", 6)
+    rows = texts(random.Random(7), 200)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(tuple(r) for r in C.mine(docs, min_count=5, top=25).collect()) == brute(rows, 5, 25)
+
+
+def test_no_rows_of_chunks_by_phrases(spark, monkeypatch):
+    """40 chunks that hold the same phrases: what is written between the steps is one row a chunk."""
+    written = {}
+    real = C._written
+
+    def count(df, name):
+        table = real(df, name)
+        written[name] = (table().columns, table().count())
+        return table
+
+    monkeypatch.setattr(C, "_written", count)
+    docs = spark.createDataFrame([("en", "the quick brown fox jumps over the lazy dog. " * 3)] * 400, "lang string, text string").repartition(40)
+    assert C.mine(docs, min_count=5).count() > 0
+    chunks = written["words-of-chunks"][1]
+    assert written["words-of-chunks"][0] == ["chunk", "words"] and chunks <= 40 and not [n for n in written if n.startswith("level")]

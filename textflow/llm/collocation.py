@@ -4,14 +4,16 @@ Texts are cut into chunks of one language, whose words are numbered by a diction
 chunk's own. The words that occur often enough in their language get an id by falling
 frequency, and the pairs of neighbouring ids are counted tile by tile: a tile is a rectangle of
 ranks, whose sides double with the rank. A tile that holds about as many pairs as cells is
-counted with one dense ``bincount``, a sparse one as sorted COO; a task adds up its chunks' counts. The frequent pairs are ranked anew, and a pair
-followed by a word is counted in the same way, and so on up to the longest phrases: a phrase
-can only be frequent if both phrases that are one word shorter are.
+counted with one dense ``bincount``, a sparse one as sorted COO; a task adds up its chunks' counts. Longer phrases are counted in the same
+way, as a phrase of one word less (ranked by its frequency in the chunk) followed by a word, and
+only where both phrases that are one word shorter may be frequent. Phrases are known by their
+words' ids, written as the digits of 64-bit numbers, so a chunk never asks for a phrase's number
+and no rows of chunks by phrases are made.
 
 Every group that a task holds is one chunk (``CHUNK_BYTES`` of text at most, but for a single
 piece that is longer). Ids come from a range-partitioned sort, so neither words nor phrases
 are ever all in one task or on the driver. The only thing that is broadcast is a bit map of
-fixed size, which keeps most of the rare pairs out of a join; a bit set by chance costs a row.
+fixed size, which keeps most of the rare phrases from being counted; a bit set by chance costs a row.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ CHUNK_BYTES = 8 << 20  # of text in a chunk
 HELD_PAIRS = 3_000_000  # counts that a task holds before it puts them out
 BLOCK_BYTES = 1 << 20  # of text that is split into words at a time
 TILE = 256  # ranks on a side of the first tile
-BITS = 25  # of a bit's number in the map of frequent pairs
+BITS = 27  # of a bit's number in the map of frequent phrases
+KEY_BITS = 63  # of a number that holds the ids of several words
 GAP = b"\xff"  # stands between pieces; no byte of UTF-8
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -150,32 +153,6 @@ def _merged(key: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
     return key[first], np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n, first) if len(first) else n
 
 
-def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a pair, its id and the chunks it is in, to rows of a chunk with its pairs and ids."""
-    for pdf in batches:
-        if len(pdf):
-            sizes = pdf["chunks"].map(len).to_numpy()
-            chunks = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["chunks"]])
-            order = np.argsort(chunks, kind="stable")
-            chunks, pairs, ids = chunks[order], np.repeat(pdf["pair"].to_numpy(np.int64), sizes)[order], np.repeat(pdf["id"].to_numpy(np.int64), sizes)[order]
-            cuts = np.append(0, np.flatnonzero(np.diff(chunks)) + 1)
-            ends = np.append(cuts[1:], len(chunks))
-            yield pd.DataFrame({"chunk": chunks[cuts], "pairs": [pairs[a:b].tobytes() for a, b in zip(cuts, ends)], "ids": [ids[a:b].tobytes() for a, b in zip(cuts, ends)]})
-
-
-def _found(want: np.ndarray, known: pd.DataFrame) -> np.ndarray:
-    """The id of each pair by the packed ``known`` (pairs, ids); -1 where it has none."""
-    out = np.full(len(want), -1, dtype=np.int64)
-    if len(known) and len(want):
-        keys, ids = (np.frombuffer(b"".join(known[c]), np.int64) for c in ("pairs", "ids"))
-        order = np.argsort(keys)
-        keys = keys[order]
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = keys[at] == want
-        out[hit] = ids[order][at[hit]]
-    return out
-
-
 def _packed(ids: np.ndarray) -> bytes:
     return ids.astype(np.int32 if not len(ids) or ids.max() < 1 << 31 else np.int64).tobytes() + (b"4" if not len(ids) or ids.max() < 1 << 31 else b"8")
 
@@ -184,12 +161,12 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int32 if data[-1:] == b"4" else np.int64, (len(data) - 1) // int(data[-1:])).astype(np.int64)
 
 
-_LEVEL = "chunk long, words binary, ids binary"
+_LEVEL = "chunk long, words binary"
 _NOTHING = pd.DataFrame({c.split()[0]: np.empty(0, object) for c in _LEVEL.split(", ")})
 
 
 def _level(chunk: int, words: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
-    """A chunk's words and the phrases of n words that start at them (-1 where none is frequent), as one row.
+    """A chunk's words as one row; ``ids`` has the phrases of n words that start at them (-1 where none is frequent).
 
     Words that no such phrase covers are left out, but for one place after each run.
     """
@@ -197,44 +174,111 @@ def _level(chunk: int, words: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFra
     for k in range(1, min(n, len(ids))):  # word i is part of a phrase that starts up to n - 1 words before
         covered[k:] |= ids[:-k] >= 0
     keep = covered | np.append(False, covered[:-1]) if len(ids) else covered
-    words, ids = np.where(covered, words, -1)[keep], np.where(covered, ids, -1)[keep]
-    return pd.DataFrame({"chunk": [chunk], "words": [_packed(words)], "ids": [None if n == 1 else _packed(ids)]})
+    return pd.DataFrame({"chunk": [chunk], "words": [_packed(np.where(covered, words, -1)[keep])]})
+
 
+def _width(base: int) -> int:
+    """How many ids below ``base`` one number holds."""
+    k = 1
+    while base ** (k + 1) < 1 << KEY_BITS and k < KEY_BITS:
+        k += 1
+    return k
 
-def _pairs(words: bytes, ids: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words, ids, and where phrases of n + 1 words may start: both phrases of n words in it are frequent; their left and right ids."""
-    w = _unpacked(words)
-    i = w if ids is None else _unpacked(ids)
-    starts = np.flatnonzero((i[:-1] >= 0) & (i[1:] >= 0))
-    return w, i, starts, w[np.minimum(starts + n, max(len(w) - 1, 0))]
+
+def _names(n: int, width: int) -> list[str]:
+    """Columns of the numbers that name a phrase of n words, ``width`` words each."""
+    return ["pair", *(f"pair{j}" for j in range(1, -(-n // width)))]
+
+
+def _numbers(words: np.ndarray, starts: np.ndarray, n: int, base: int, width: int) -> list[np.ndarray]:
+    """The numbers of the phrases of n words that start there."""
+    out: list[np.ndarray] = []
+    for k in range(n):
+        out = _longer(out, words[starts + k], k, base, width)
+    return out
 
 
-def _counts(n: int, base: int):
+def _longer(numbers: list[np.ndarray], right: np.ndarray, n: int, base: int, width: int) -> list[np.ndarray]:
+    """The numbers of phrases of n words, each followed by one more word."""
+    return [*numbers, right] if n % width == 0 else [*numbers[:-1], _keys(numbers[-1], right, base)]
+
+
+def _ranks(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of phrases by falling frequency among those given, and a place of each rank."""
+    key = numbers[0]
+    for more in numbers[1:]:
+        _, key = np.unique(key, return_inverse=True)
+        _, other = np.unique(more, return_inverse=True)
+        key = _keys(key, other, len(other) + 1)
+    _, place, key, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[key], place[order]
+
+
+def _summed(numbers: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``_merged``, for phrases of one or more numbers."""
+    if len(numbers) == 1:
+        key, n = _merged(numbers[0], n)
+        return [key], n
+    order = np.lexsort(numbers[::-1])
+    numbers, n = [x[order] for x in numbers], n[order]
+    new = reduce(np.logical_or, (np.diff(x) != 0 for x in numbers))
+    first = np.flatnonzero(np.append(True, new)) if len(n) else np.empty(0, np.int64)
+    return [x[first] for x in numbers], np.add.reduceat(n, first) if len(first) else n
+
+
+def _starts(words: np.ndarray, n: int, base: int, width: int, bits: np.ndarray | None) -> np.ndarray:
+    """Where phrases of n + 1 words may start: both phrases of n words in it may be frequent."""
+    if len(words) <= n:
+        return np.empty(0, np.int64)
+    places = len(words) - n + 1
+    likely = reduce(np.logical_and, (words[k : k + places] >= 0 for k in range(n)))
+    if bits is not None:
+        at = np.flatnonzero(likely)
+        bit = _bit(_numbers(words, at, n, base, width), 8 * len(bits))
+        likely[at] = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+    return np.flatnonzero(likely[:-1] & likely[1:])
+
+
+def _counts(n: int, base: int, width: int | None = None, shared=None):
     """Counts of phrases of n + 1 words over the chunks of a task, put together before they leave it."""
+    width = width or _width(base)
+    names = _names(n + 1, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, held = [], [], 0
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _merged(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+        def merged() -> tuple[list[np.ndarray], np.ndarray]:
+            if not held:
+                return [np.empty(0, np.int64)] * len(names), np.empty(0, np.int64)
+            return _summed([np.concatenate(x) for x in zip(*(k for k, _ in held))], np.concatenate([c for _, c in held]))
 
-        def out(key: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
-            for at in range(0, len(key), 200_000):
-                yield pd.DataFrame({"pair": key[at : at + 200_000], "n": count[at : at + 200_000]})
+        def out(numbers: list[np.ndarray], count: np.ndarray) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(count), 200_000):
+                yield pd.DataFrame({name: x[at : at + 200_000] for name, x in zip([*names, "n"], [*numbers, count])})
 
         for pdf in batches:
-            for words, ids in zip(pdf["words"], pdf["ids"]):
-                _, i, starts, right = _pairs(words, ids, n)
-                l, r, c = tile_counts(i[starts], right)
-                keys.append(_keys(l, r, base))
-                counts.append(c)
-                held += len(c)
-                if held > HELD_PAIRS:
-                    key, count = merged()
-                    if len(key) > HELD_PAIRS // 2:
-                        yield from out(key, count)
-                        key, count = key[:0], count[:0]
-                    keys, counts, held = [key], [count], len(key)
+            for data in pdf["words"]:
+                words = _unpacked(data)
+                starts = _starts(words, n, base, width, None if shared is None else shared.value)
+                left, right = _numbers(words, starts, n, base, width), words[starts + n]
+                if n == 1:  # ids are ranks
+                    l, r, c = tile_counts(left[0], right)
+                    left = [l]
+                else:
+                    rank, place = _ranks(left)
+                    l, r, c = tile_counts(rank, right)
+                    left = [x[place[l]] for x in left]
+                held.append((_longer(left, r, n, base, width), c))
+                if sum(len(c) for _, c in held) > HELD_PAIRS:
+                    numbers, count = merged()
+                    held.clear()
+                    if len(count) > HELD_PAIRS // 2:
+                        yield from out(numbers, count)
+                    else:
+                        held.append((numbers, count))
         yield from out(*merged())
 
     return run
@@ -255,44 +299,26 @@ def _first(codes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return _level(int(codes["chunk"].iloc[0]), words, words, 1)
 
 
-def _next(n: int, base: int):
-    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """Phrases of n words to phrases of n + 1."""
-        if not len(rows) or not len(known):
-            return _NOTHING.copy()
-        words, ids, starts, right = _pairs(rows["words"].iloc[0], rows["ids"].iloc[0], n)
-        new = np.full(len(ids), -1, dtype=np.int64)
-        new[starts] = _found(_keys(ids[starts], right, base), known)
-        return _level(int(rows["chunk"].iloc[0]), words, new, n + 1)
-
-    return run
-
-
-def _bit(pair: np.ndarray) -> np.ndarray:
-    h = pair.astype(np.uint64)
-    for mix in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(mix)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+def _bit(numbers: list[np.ndarray], size: int) -> np.ndarray:
+    """The bit of each phrase in a map of ``size`` bits, a power of two."""
+    h = np.zeros(len(numbers[0]), dtype=np.uint64)
+    for x in numbers:
+        h ^= x.astype(np.uint64)
+        for mix in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(mix)
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(size - 1)).astype(np.int64)
 
 
-def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        bit = np.unique(_bit(pdf["pair"].to_numpy()))
-        byte, first = np.unique(bit >> 3, return_index=True)
-        yield pd.DataFrame({"byte": byte, "bits": np.bitwise_or.reduceat(1 << (bit & 7), first) if len(bit) else bit})
-
-
-def _likely(n: int, base: int, shared):
-    """chunk, pair: a chunk's distinct phrases of n + 1 words whose bit is set."""
+def _bits(names: list[str], size: int):
+    """Parts of 64 bits of the map that has a bit for each phrase."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for chunk, words, ids in zip(pdf["chunk"], pdf["words"], pdf["ids"]):
-                _, i, starts, right = _pairs(words, ids, n)
-                pair = np.unique(_keys(i[starts], right, base))
-                bit = _bit(pair)
-                pair = pair[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                yield pd.DataFrame({"chunk": chunk, "pair": pair})
+            bit = np.unique(_bit([pdf[name].to_numpy(np.int64) for name in names], size))
+            part, first = np.unique(bit >> 6, return_index=True)
+            ones = np.uint64(1) << (bit & 63).astype(np.uint64)
+            yield pd.DataFrame({"part": part, "bits": (np.bitwise_or.reduceat(ones, first) if len(bit) else ones).view(np.int64)})
 
     return run
 
@@ -333,32 +359,31 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     totals = own.groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary = common.materialize(ranked(counts.where(F.col("a") >= min_count), F.col("a"), "lang", "word"), "words")
     base = max(1, vocabulary.count())
+    width = _width(base)
     known = own.join(vocabulary, ["lang", "word"]).select("chunk", "at", "id")
-    level = vocabulary.select("lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "a", "id")
-    found = [level]
+    level = vocabulary.select("lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "a", F.col("id").alias("pair"))
+    word = vocabulary.select(F.col("id").alias("right"), "word")
+    found = [level.drop("pair")]
     codes = coded().where("codes IS NOT NULL").select("chunk", "at", "codes")
-    rows = codes.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_first, _LEVEL)
+    table = _written(codes.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_first, _LEVEL), "words-of-chunks")
+    shared = None
     for n in range(1, max_words):  # from phrases of n words to those of n + 1
-        table = _written(rows, f"level{n}")
-        sums = table().mapInPandas(_counts(n, base), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-        frequent = common.materialize(ranked(sums, F.col("a"), "pair"), f"frequent{n}")
-        shorter = level.select("lang", F.col("id").alias("left"), "ids", "phrase")
-        word = vocabulary.select(F.col("id").alias("right"), "word")
-        longer = frequent.withColumns({"left": F.expr(f"pair DIV {base}"), "right": F.col("pair") % base}).join(shorter, "left").join(word, "right")
-        level = common.materialize(longer.select("lang", F.concat("ids", F.array("right")).alias("ids"), F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "a", "id"), f"phrases{n}")
-        found.append(level)
-        if n + 1 == max_words:
-            break
-        # bytes of the map: 2 ** (BITS - 3) rows at most
-        made = frequent.select("pair").mapInPandas(_bits, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
-        bitmap = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-        bitmap[made["byte"].to_numpy(np.int64)] = made["bits"].to_numpy(np.uint8)
-        likely = table().mapInPandas(_likely(n, base, spark.sparkContext.broadcast(bitmap)), "chunk long, pair long")
-        # a row for each pair and some chunks (those that 64 tasks made), so that a pair in all chunks is no long row
-        held = likely.groupBy("pair", F.expr(f"chunk DIV {64 << 32}").alias("some")).agg(F.collect_list("chunk").alias("chunks"))
-        known = held.join(frequent.select("pair", "id"), "pair").select("pair", "id", "chunks").mapInPandas(_by_chunk, "chunk long, pairs binary, ids binary")
-        rows = table().groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_next(n, base), _LEVEL)
-    return reduce(DataFrame.unionByName, (x.drop("id") for x in found)), totals
+        names, before = _names(n + 1, width), _names(n, width)
+        counts = table().select("words").mapInPandas(_counts(n, base, width, shared), ", ".join(f"{name} long" for name in [*names, "n"]))
+        frequent = common.materialize(counts.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), f"frequent{n}")
+        last = F.col(names[-1])  # its last digit is the last word, the others belong to the phrase before it
+        alone = len(names) > len(before)
+        keys = {f"left_{b}": F.col(b) if alone or b != names[-1] else F.expr(f"{b} DIV {base}") for b in before}
+        shorter = level.select("lang", "ids", "phrase", *(F.col(b).alias(f"left_{b}") for b in before))
+        longer = frequent.withColumns({**keys, "right": last if alone else last % base}).join(shorter, list(keys)).join(word, "right")
+        level = common.materialize(longer.select("lang", F.concat("ids", F.array("right")).alias("ids"), F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "a", *names), f"phrases{n}")
+        found.append(level.drop(*names))
+        if n + 1 < max_words:  # the map in parts of 64 bits: 2 ** (BITS - 6) rows at most
+            made = frequent.select(*names).mapInPandas(_bits(names, 1 << BITS), "part long, bits long").groupBy("part").agg(F.bit_or("bits").alias("bits")).toPandas()
+            bits = np.zeros(1 << (BITS - 6), dtype="<i8")
+            bits[made["part"].to_numpy(np.int64)] = made["bits"].to_numpy(np.int64)
+            shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, inside: int = 80) -> DataFrame:
