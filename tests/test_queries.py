@@ -55,3 +55,11 @@ def test_fuzzy_names_of_common_and_lonely_names(spark, tmp_path):
     c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["sim_fuzzy_names"](spark, str(tmp_path)).select("a", "b", "dist", "place").collect())
     assert got == sorted(c.sql(ORACLES["sim_fuzzy_names"]).fetchall())
+
+
+def test_fuzzy_names_broadcasts_only_what_was_counted(spark, tmp_path):
+    """Lonely names: what is left of them after two deletions is far more than the names' file and goes through no broadcast."""
+    spark.range(4000).selectExpr("id AS s_suppkey", "substring(sha2(string(id), 256), 1, 12) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    plan = QUERIES["sim_fuzzy_names"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [key" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins) and "BroadcastHashJoin" not in plan
