@@ -161,3 +161,50 @@ def test_concordance_groups_tokens_where_they_are(spark, tmp_path):
         plan = run(name)._jdf.queryExecution().executedPlan().toString()
         of_tokens = [line for line in plan.split("\n") if "seg_idx" in line]
         assert of_tokens and not [line for line in of_tokens if "SortAggregate" in line or "Exchange hashpartitioning(base" in line]
+
+
+def test_near_copies_stay_with_their_document(spark, tmp_path):
+    """Lines behind a common phrase, near copies, ids that occur twice or are null: as the SQL has them, and only the texts are shuffled."""
+    import random
+
+    import duckdb
+
+    from textflow.queries import ORACLES, QUERIES
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    lines = [f"the register says on this day {' '.join(word() for _ in range(r.randint(0, 9)))}" for _ in range(300)]
+    near = [" ".join(w if r.random() > 0.06 else word() for w in line.split()) for line in lines[:100] for _ in range(2)]
+    one = [" ".join(word() for _ in range(40))]
+    docs = [(1, "\n".join(lines + near + lines[:9])), (1, "\n \n".join(f"{x} {' '.join(word() for _ in range(15))}" for x in near[:50])), (2, "\n".join(one * 3)), (2, one[0] + " more"), (3, "a b\na b c\nA, b c!\na b c d"), (None, "\n".join(near)), (4, None), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["sim_near_dup_segments"](spark, str(tmp_path))
+    want = sorted(c.sql(ORACLES["sim_near_dup_segments"]).fetchall())
+    assert sorted(tuple(x) for x in df.collect()) == want and len(want) > 200
+    plan = df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan[1].count("Exchange") == 1 and "Join" not in plan[0]
+
+
+def test_near_copies_in_small_steps(monkeypatch):
+    """Whatever number of pairs is looked at together, each pair above 11/20 comes once; grams of one segment alone may be left out."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from textflow.operators import near
+
+    for step in (1 << 20, 5):
+        monkeypatch.setattr(near, "STEP", step)
+        for seed in range(40):
+            r = random.Random(seed)
+            base = [set(r.sample(range(60), r.randint(1, 20))) for _ in range(3)]
+            sets = {3 * i + 1: s for i, s in enumerate({frozenset(r.choice(base) ^ set(r.sample(range(60), r.randint(0, 5)))) for _ in range(25)}) if s}
+            often = Counter(x for s in sets.values() for x in s)
+            rows = [(i, len(s), x) for i, s in sets.items() for x in s if seed % 2 or often[x] > 1]
+            r.shuffle(rows)
+            a = np.array(rows, "int32")
+            got = sorted((int(p), int(q), float(j)) for block in near.like_pairs(*a.T) for p, q, j in zip(*block))
+            assert got == sorted((p, q, len(s & t) / len(s | t)) for p, s in sets.items() for q, t in sets.items() if p < q and len(s & t) / len(s | t) > 0.55)
