@@ -208,3 +208,30 @@ def test_near_copies_in_small_steps(monkeypatch):
             a = np.array(rows, "int32")
             got = sorted((int(p), int(q), float(j)) for block in near.like_pairs(*a.T) for p, q, j in zip(*block))
             assert got == sorted((p, q, len(s & t) / len(s | t)) for p, s in sets.items() for q, t in sets.items() if p < q and len(s & t) / len(s | t) > 0.55)
+
+
+def test_concordance_rows_are_whole(spark, tmp_path):
+    """The sentence's first 24 words, whether the base's first word has a gloss anywhere in it, and a capital amid it; ids that occur twice or are null as in the SQL."""
+    import duckdb
+
+    from textflow.queries import ORACLES, QUERIES
+
+    long = "Then " + " ".join(f"w{chr(97 + i)}" for i in range(24)) + " Zyx（名字） ends."
+    docs = [
+        (1, f'He saw Wolves（狼） and a Wolf. The wolf\'s Paw -- It said "The End" to Mr. Zyx.\n{long}\n{long[5:]}'),
+        (2, "Bare wolf here, then wolf（狼）; A'b（x）c Zyx（） zyx（open"),
+        (3, "Some wolf（狼） ran."), (3, "Some wolf ran.\nMore of it."), (3, "A Wolves Wolf."), (None, "No wolf."), (None, "No Wolf（狼）."), (4, None), (5, ""),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "wolf the a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["con_build"](spark, str(tmp_path)).collect()
+    at = {(r.base, r.doc_id, r.seg_idx, r.sent_idx): (r.surface, r.annotated, r.capital_mid) for r in rows}
+    assert at["wolf", 1, 1, 1] == ("wolves", True, True) and at["he", 1, 1, 1] == ("he", False, False) and at["wolf", 1, 1, 2] == ("wolf", False, False) and at["paw", 1, 1, 2] == ("paw", False, True)
+    assert at["it", 1, 1, 2] == ("it", False, False) and at["zyx", 1, 2, 1] == ("zyx", True, True) and at["wolf", 2, 1, 1] == ("wolf", True, False) and at["a'b", 2, 1, 1] == ("a'b", True, True) and at["zyx", 2, 1, 1] == ("zyx", True, True)
+    lines = {(r.doc_id, r.seg_idx): r.sentence for r in rows}
+    assert lines[1, 2] == " ".join(long.split()[:24]) + "…" and lines[1, 3] == " ".join(long.split()[1:25]) + "…" and lines[2, 1] == docs[1][1]
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = c.sql(ORACLES["con_build"])
+    assert sorted((tuple(r[x] for x in rel.columns) for r in rows), key=str) == sorted(rel.fetchall(), key=str)
